@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
 
 TOKEN = (
     "id INT, text STRING, lemma STRING, pos STRING, xpos STRING, feats STRING, head INT, dep STRING, deps STRING, misc STRING, is_punct BOOLEAN"
@@ -17,7 +16,7 @@ DETECTIONS = {
     "root_adverbials": "ARRAY<STRUCT<adv_id: INT, adv_lemma: STRING>>",
     "hearst_pairs": f"ARRAY<STRUCT<pattern: STRING, hypernym: {_SPAN}, hyponym: {_SPAN}>>",
 }
-RAW = StructType.fromDDL("doc_id BIGINT, path STRING, text STRING, format STRING")
+RAW = "doc_id BIGINT, path STRING, text STRING, format STRING"
 PARAGRAPHS = "doc_id BIGINT, section_idx INT, para_idx INT, text STRING, in_blockquote BOOLEAN"
 ERROR = "STRUCT<kind: STRING, message: STRING, what: STRING, limit: BIGINT, actual: BIGINT>"
 #: A whole document as read back from JSON.
