@@ -264,7 +264,7 @@ o AS (SELECT te.doc_id, sent_idx, row_number() OVER (PARTITION BY te.doc_id, sen
 g AS (SELECT doc_id, w AS phrase, s AS p FROM o
   UNION ALL SELECT a.doc_id, a.w || ' ' || b.w, a.s * b.s FROM o a JOIN o b ON {_same('a', 'b')} AND b.k = a.k + 1
   UNION ALL SELECT a.doc_id, a.w || ' ' || b.w || ' ' || c.w, a.s * b.s * c.s FROM o a JOIN o b ON {_same('a', 'b')} AND b.k = a.k + 1 JOIN o c ON {_same('a', 'c')} AND c.k = a.k + 2)
-{_ranked('SELECT doc_id, phrase, 1 / min(p) AS score FROM g GROUP BY ALL HAVING min(p) > 0 AND isfinite(min(p))', 'phrase', 6, 'doc_id, phrase')}""",
+{_ranked('SELECT doc_id, phrase, 1 / min(p) AS score FROM g GROUP BY ALL HAVING min(p) > 0 AND isfinite(min(p))', 'phrase', 8, 'doc_id, phrase').replace('round(score, 8) AS score', 'round(ln(score), 8) AS log_score')}""",
     "conversation_sentences": f"""WITH cut AS (SELECT conv_id * 1000 + turn AS doc_id, role, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS text FROM conversations),
 paragraphs AS (SELECT doc_id, 0 AS section_idx, row_number() OVER (PARTITION BY doc_id) AS para_idx, {_trim('text')} AS text, false AS in_blockquote FROM cut WHERE {_trim('text')} <> ''),
 {_tokens()} SELECT role, count(*) AS sentences, CAST(sum(words) AS BIGINT) AS words FROM sents JOIN (SELECT conv_id * 1000 + turn AS doc_id, role FROM conversations) USING (doc_id) GROUP BY role""",

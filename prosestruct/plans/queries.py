@@ -228,7 +228,8 @@ def rake_topk(spark, sf_dir):
 
 @query
 def yake_topk(spark, sf_dir):
-    return extract.yake_phrases(parsed(spark, sf_dir)[1], TOP).select("doc_id", "phrase", F.round("score", 6).alias("score"))
+    # Scores span many powers of ten, so their logarithm is what can be rounded.
+    return extract.yake_phrases(parsed(spark, sf_dir)[1], TOP).select("doc_id", "phrase", F.round(F.log("score"), 8).alias("log_score"))
 
 
 @query
