@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 #: Rows and bytes of one Arrow batch. Both bound what a Python worker holds at a time.
 BATCH_ROWS = 2000
@@ -54,20 +55,15 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], ddl: st
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir, which executors share.
+    """Cut the lineage by a table written once into spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (local tests) is a temporary folder used.
+    A reliable checkpoint would compute df twice. Only where the setting is absent (local tests) is a temporary folder used.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prosestruct-checkpoints"))
+    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prosestruct-checkpoints")
+    folder = f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def hash64(data: bytes) -> int:

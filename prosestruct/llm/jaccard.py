@@ -6,13 +6,16 @@ enough, since any fixed order gives right results; the counts only keep common p
 
 1. Candidates. Sets r, s with similarity of at least t = num / den share one of the first |r| - ceil(t * |r|) + 1
    shingles of each (prefix filter), and the smaller has at least t times the size of the larger (length filter). Sets
-   with a common prefix shingle are put in order of size, cut where a gap is too wide for a link, and each is tied to the
-   first up to the cut before it.
-2. Groups. Connected components of these ties hold all links.
-3. Partial overlaps. A group's sets are cut into blocks of bounded weight. A task takes two blocks and goes through the
-   n-gram order fragment by fragment, vertically: it counts each pair's overlap in a fragment from the fragment's
-   inverted lists and adds it to the pair's sum. Sums meet the exact integer condition or not. A task returns a spanning
-   forest of the links it found, so a group of n near copies costs about n rows and not n * n.
+   with a common prefix shingle are put in order of size. Each is paired with those of the NEAR before it that its size
+   allows; where more would be allowed, the whole run of sizes without a gap is hot and is tied together instead.
+2. Overlap bounds. Each set has a sketch: the order is cut into 2^k fragments, two to four of its shingles in each, and
+   the shingles are counted by fragment. Overlap in a fragment is at most the smaller count; summed over fragments, that
+   drops pairs without losing one that links. Hot runs go through it in blocks of HOT_BLOCK sets, two blocks a task, which
+   return a spanning forest of what passes: no pair of a hot run is ever a row.
+3. Partial overlaps. Connected components of the pairs that pass hold all links. Their sets are cut into blocks of bounded
+   weight. A task takes two blocks and goes through the n-gram order fragment by fragment, vertically: it counts each
+   pair's overlap in a fragment from the fragment's inverted lists and adds it to the pair's sum. Sums meet the exact
+   integer condition or not. A task returns a spanning forest of its links: n near copies cost about n rows, not n * n.
 4. Documents with equal sets are one vertex all along. Components of the links, least doc_id first, are the result.
 
 Words are maximal runs of characters other than ASCII white space after A-Z are lower-cased; with fewer words than n
@@ -38,7 +41,9 @@ from .components import connected_components
 #: Shared shingles whose counts order the rest, 16 bytes each, and the documents of a batch that make one shared.
 MAX_FREQUENT, SHARED = 250_000, 3
 #: Shingles in a block of a group, and the rows of the group table that are broadcast at most (24 bytes each).
-BLOCK, MAX_BROADCAST = 200_000, 1_000_000
+BLOCK, MAX_BROADCAST = 16_000, 1_000_000
+#: Sets before a set in a prefix list that it is paired with, and sets in a block of a hot run.
+NEAR, HOT_BLOCK = 7, 512
 #: Fragments of the order in which partial overlaps are counted.
 PARTIAL = 16
 MAX_WORDS = 500_000
@@ -103,8 +108,26 @@ def set_id(whole: bytes) -> int:
     return int.from_bytes(whole[:8], "little", signed=True)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles by fragment, one byte each; empty, which bounds nothing, if one doesn't fit."""
+    if not len(shingles):
+        return b""
+    bits = max(3, (len(shingles) // 2).bit_length() - 1)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int) -> bool:
+    """Whether sketches x, y leave room for a link; the finer one is folded."""
+    if not len(x) or not len(y):
+        return True
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    most = int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+    return den * most >= num * (nx + ny - most)
+
+
 def set_table(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and set_id, its leading bits, of each row; and shared: shingles that SHARED or
+    """doc_id, n_shingles, digest of the set, set_id (its leading bits) and sketch of each row; and shared: shingles that SHARED or
     more different sets of a batch hold, with counts, on the first row of the batch."""
 
     def make():
@@ -121,13 +144,13 @@ def set_table(documents: DataFrame, n: int) -> DataFrame:
                 shared[0] = [{"s": int(s), "n": int(c)} for s, c in zip(values[often].view(np.int64), counts[often], strict=True)]
             return {
                 "doc_id": batch["doc_id"], "n_shingles": list(map(len, sets)), "digest": digests,
-                "set_id": list(map(set_id, digests)), "shared": shared,
+                "set_id": list(map(set_id, digests)), "shared": shared, "sketch": list(map(sketch, sets)),
             }
 
         return work
 
     return arrow_map(
-        documents.select("doc_id", "text"), make, "doc_id long, n_shingles long, digest binary, set_id long, shared array<struct<s:long,n:long>>"
+        documents.select("doc_id", "text"), make, "doc_id long, n_shingles long, digest binary, set_id long, shared array<struct<s:long,n:long>>, sketch binary"
     )
 
 
@@ -140,8 +163,8 @@ def global_order(sets: DataFrame) -> Order:
     return Order(shared[order], counts[order])
 
 
-def candidate_ties(documents: DataFrame, order: Order, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of set ids that share a prefix shingle with no gap in size between them that no link bridges."""
+def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, ties) of set ids (a, b): pairs to test one by one, and ties that hold hot runs together."""
     held = documents.sparkSession.sparkContext.broadcast(order)
 
     def make():
@@ -170,23 +193,84 @@ def candidate_ties(documents: DataFrame, order: Order, n: int, num: int, den: in
 
     rows = arrow_map(documents.select("text"), make, "key long, a long, size int")
     by_size = W.partitionBy("key").orderBy("size", "a")
-    # A gap in size that no link bridges starts a new run; each set is tied to the first of its run.
-    bridged = F.coalesce(F.lag("size").over(by_size) * den >= F.col("size") * num, F.lit(False))
-    runs = rows.withColumn("start", F.when(~bridged, F.col("a")))
-    tied = runs.withColumn("b", F.last("start", ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
-    return tied.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fits = lambda less, more: F.coalesce(less * den >= more * num, F.lit(False))
+    size = F.col("size")
+    around = rows.withColumn("joined", fits(F.lag("size").over(by_size), size)).withColumn("joins", fits(size, F.lead("size").over(by_size)))
+    held_keys = around.withColumn("far", fits(F.lag("size", NEAR + 1).over(by_size), size)).where("joined OR joins")
+    runs = held_keys.withColumn("first", F.last(F.when(~F.col("joined"), F.col("a")), ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.withColumn("before", F.collect_list(F.struct("a", "size")).over(by_size.rowsBetween(-NEAR, -1)))
+    kept = checkpointed(runs.withColumn("hot", F.max("far").over(W.partitionBy("key", "first"))).select("a", "size", "first", "before", "hot"))
+    both = kept.where("NOT hot").select("a", "size", F.explode("before").alias("x")).where(fits(F.col("x.size"), size) & (F.col("a") != F.col("x.a")))
+    pairs = both.select(F.least("a", "x.a").alias("a"), F.greatest("a", "x.a").alias("b")).distinct()
+    ties = kept.where("hot AND a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b")).distinct()
+    return pairs, ties
+
+
+class Folded:
+    """Sketches of a block, folded for comparison with sketches of one level; levels in a block differ by what sizes do."""
+
+    def __init__(self, sketches: list[np.ndarray], members: np.ndarray) -> None:
+        self.sketches, self.members, self.levels = sketches, members, {}
+
+    def at(self, width: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """(members, matrix of sketches, whether the other side has to be folded) for each width in the block."""
+        if width not in self.levels:
+            by_width: dict[int, list[int]] = {}
+            for i in self.members:
+                by_width.setdefault(len(self.sketches[i]), []).append(i)
+            out = []
+            for own, members in by_width.items():
+                if not own:
+                    continue
+                m = np.stack([self.sketches[i] for i in members])
+                if own > width:
+                    m = m.reshape(len(m), width, -1).sum(axis=2).astype(np.uint8 if own <= 2 * width and m.max() < 128 else np.int64)
+                out.append((np.array(members), m, own < width))
+            self.levels[width] = out
+        return self.levels[width]
+
+
+def passing_in_blocks(sketches: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches leave room for a link, as places."""
+    trees, folded, found = Forest(), Folded(sketches, right), []
+    blind = np.array([j for j in right if not len(sketches[j])], dtype=np.int64)
+    for i in left:
+        x, hits = sketches[i], [blind]
+        if not len(x):
+            hits = [right]
+        else:
+            for members, m, fold in folded.at(len(x)):
+                ok = (den * np.minimum(sizes[members], sizes[i])) >= num * np.maximum(sizes[members], sizes[i])
+                if not ok.any():
+                    continue
+                own = x.reshape(m.shape[1], -1).sum(axis=1) if fold else x
+                most = np.minimum(m[ok], own).sum(axis=1, dtype=np.int64)
+                hits.append(members[ok][den * most >= num * (sizes[members[ok]] + sizes[i] - most)])
+        found += [(int(i), int(j)) for j in np.concatenate(hits) if j != i and trees.join(int(i), int(j))]
+    return found
 
 
-def links_in_blocks(sets: list[np.ndarray], ids: list[int], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members `left` and `right` (places in sets), by partial overlaps."""
-    parent = {}
+class Forest:
+    """Union-find over small integers."""
 
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.parent.get(x, x) != x:
+            self.parent[x] = x = self.parent.get(self.parent[x], self.parent[x])
         return x
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
+
+def links_in_blocks(sets: list[np.ndarray], ids: list[int], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members `left` and `right` (places in sets), by partial overlaps."""
+    trees = Forest()
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     width = len(right)
     column = np.full(len(sets), -1, dtype=np.int64)
@@ -215,24 +299,57 @@ def links_in_blocks(sets: list[np.ndarray], ids: list[int], left: np.ndarray, ri
         union = sizes[i] + sizes[right] - total
         for j in np.flatnonzero((total > 0) & (den * total >= num * union)):
             other = int(right[j])
-            a, b = root(int(i)), root(other)
-            if a != b:
-                parent[a] = b
+            if trees.join(int(i), other):
                 found.append((ids[i], ids[other]))
     return found
 
 
-def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between doc_ids; reps has (doc_id, set_id, n_shingles), one row for each distinct set."""
-    ties = candidate_ties(documents, order, n, num, den)
+def deal(rows: DataFrame) -> DataFrame:
+    """Rows with group, mine (their block) and blocks, once for each pair (i, j) of blocks of the group that has theirs."""
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+
+
+def passing_pairs(documents: DataFrame, order: Order, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between doc_ids whose components hold all links; reps has doc_id, set_id, n_shingles, sketch of each set."""
+    pairs, ties = candidates(documents, order, n, num, den)
+    schema = arrow_schema(documents, "a long, b long")
+    sets = [reps.select(*(F.col(c).alias(f"{c}_{side}") for c in reps.columns)) for side in "ab"]
+    each = pairs.join(sets[0], F.col("a") == F.col("set_id_a")).join(sets[1], F.col("b") == F.col("set_id_b"))
+
+    def make():
+        def work(batch):
+            rows = zip(*(batch[c].to_pylist() for c in ("doc_id_a", "doc_id_b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b")), strict=True)
+            kept = [(a, b) for a, b, na, nb, x, y in rows if may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), na, nb, num, den)]
+            return {"a": [x[0] for x in kept], "b": [x[1] for x in kept]}
+
+        return work
+
+    tested = arrow_map(each.select("doc_id_a", "doc_id_b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b"), make, "a long, b long")
     groups = connected_components(ties).withColumnRenamed("vertex", "set_id").withColumnRenamed("component", "group")
-    # Leading bits may belong to two sets; then both are in the group, which costs a comparison.
-    members = reps.join(groups, "set_id").select("doc_id", "group", "n_shingles")
-    weights = members.groupBy("group").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") / BLOCK)).cast("int")
-    members = checkpointed(
-        members.join(weights.select("group", blocks.alias("blocks")), "group").select("doc_id", "group", "blocks")
-    )
+    members = checkpointed(reps.join(groups, "set_id"))
+    counts = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("blocks"))
+    placed = members.join(counts, "group").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        ids, place = table["doc_id"].to_pylist(), table["mine"].to_numpy()
+        sketches = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
+        left, right = np.flatnonzero(place == table["i"][0].as_py()), np.flatnonzero(place == table["j"][0].as_py())
+        found = passing_in_blocks(sketches, table["n_shingles"].to_numpy(), left, right, num, den)
+        return pa.Table.from_batches([to_batch({"a": [ids[x] for x, _ in found], "b": [ids[x] for _, x in found]}, schema)])
+
+    hot = deal(placed.select("doc_id", "n_shingles", "sketch", "group", "mine", "blocks")).groupBy("group", "i", "j").applyInArrow(verify, "a long, b long")
+    return tested.unionByName(hot).where("a <> b")
+
+
+def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between doc_ids; reps has doc_id, set_id, n_shingles and sketch, one row for each distinct set."""
+    passing = passing_pairs(documents, order, reps, n, num, den)
+    groups = connected_components(passing).withColumnRenamed("vertex", "doc_id").withColumnRenamed("component", "group")
+    sized = reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles"))
+    members = checkpointed(groups.join(sized, "doc_id"))
+    weights = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    members = checkpointed(members.join(weights, "group").select("doc_id", "group", "blocks"))
     few = members.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     wanted = members.withColumnRenamed("doc_id", "member")
     text = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("member"))
@@ -249,9 +366,7 @@ def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num:
         return work
 
     listed = arrow_map(text.select("doc_id", "group", "blocks", mine.alias("mine"), "text"), make, "doc_id long, group long, blocks int, mine int, shingles binary")
-    # Every two blocks of a group meet in one task, and a block with itself.
-    each = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = each.select("doc_id", "group", "mine", "blocks", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = deal(listed).select("doc_id", "group", "mine", "shingles", "i", "j")
 
     def verify(table: pa.Table) -> pa.Table:
         ids, sets, place = [], [], []
@@ -273,9 +388,9 @@ def linked(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
     sets = checkpointed(set_table(documents, n))
     filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = checkpointed(
-        filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("set_id").alias("set_id"))
+        filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("set_id").alias("set_id"), F.first("sketch").alias("sketch"))
     )
-    links = set_links(documents, global_order(sets), classes.select(F.col("rep").alias("doc_id"), "set_id", "n_shingles"), n, num, den)
+    links = set_links(documents, global_order(sets), classes.select(F.col("rep").alias("doc_id"), "set_id", "n_shingles", "sketch"), n, num, den)
     # Ids that stand for several sets tie these sets' representatives.
     several = filled.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id")
     own = filled.join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
