@@ -50,6 +50,7 @@ class TrieCounter:
     def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES) -> None:
         self.pieces, self.max_nodes = pieces, max_nodes
         self.longest = max(map(len, pieces), default=0)
+        self.endings = {piece[at:] for piece in pieces for at in range(len(piece))}  # what no piece ends in can't grow into one
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         self.clear()
 
@@ -58,19 +59,22 @@ class TrieCounter:
 
     def _node(self, marked: str, end: int, path: list[list]) -> list:
         """The node of marked[:end]; path holds the nodes of all shorter prefixes that a piece can reach back to."""
-        best = None
-        for size in range(min(end, self.longest), 0, -1):
-            score = self.pieces.get(marked[end - size : end])
-            before = path[-size]
-            if score is None:
-                if size > 1:
-                    continue
-                total = before[0] + self.unknown
-                found = (total, before[1] + len(marked[end - 1].encode("utf-8", "surrogatepass")), before[2] + 1)
-            else:
-                found = (before[0] + score, before[1] + 1, before[2])
-            if best is None or found[0] > best[0]:
-                best = found
+        before = path[-1]
+        letter = marked[end - 1]
+        score = self.pieces.get(letter)
+        if score is None:
+            best = (before[0] + self.unknown, before[1] + len(letter.encode("utf-8", "surrogatepass")), before[2] + 1)
+        else:
+            best = (before[0] + score, before[1] + 1, before[2])
+        for size in range(2, min(end, self.longest) + 1):
+            part = marked[end - size : end]
+            if part not in self.endings:
+                break
+            score = self.pieces.get(part)
+            if score is not None:
+                before = path[-size]
+                if before[0] + score >= best[0]:  # of equal ones the longest
+                    best = (before[0] + score, before[1] + 1, before[2])
         return [*best, {}]
 
     def count(self, word: str) -> tuple[int, int, float]:
