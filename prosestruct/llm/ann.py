@@ -33,9 +33,9 @@ from .common import arrow_schema, to_batch
 
 TABLES, PROBES, SEED = 16, 5, 11
 #: Numbers in a block of queries (8 bytes each).
-BLOCK_NUMBERS = 2_000_000
-#: Rows scored at a time.
-ROWS = 1024
+BLOCK_NUMBERS = 262_144
+#: Rows scored at a time, and pairs whose exact scores are computed at a time.
+ROWS, PAIRS = 512, 32_768
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -112,11 +112,17 @@ class Nearest:
         for mask, axis in zip(self.masks, self.index.axes(self._lifted(vectors, norms)), strict=True):
             candidate |= mask[:, axis]
         candidate &= self.ids[:, None] != ids[None, :]
-        rough = self.vectors @ vectors.T
-        q, r = np.nonzero(candidate & (rough >= self.least[:, None] - 1e-9))
+        rough = np.where(candidate, self.vectors @ vectors.T, -np.inf)
+        least = self.least
+        if rough.shape[1] > self.k:  # no more than k of these rows can stay, but for ties
+            least = np.maximum(least, np.partition(rough, rough.shape[1] - self.k, axis=1)[:, -self.k])
+        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+        q, r = np.nonzero(candidate & (rough >= (least - slack)[:, None]))
         if not len(q):
             return
-        exact = (self.vectors[q] * vectors[r]).sum(axis=1)  # summed alike for every pair, so equal vectors tie
+        # Summed alike for every pair, so equal vectors tie.
+        parts = [slice(at, at + PAIRS) for at in range(0, len(q), PAIRS)]
+        exact = np.concatenate([(self.vectors[q[p]] * vectors[r[p]]).sum(axis=1) for p in parts])
         self.found.append((q, ids[r], exact))
         self._trim()
 
