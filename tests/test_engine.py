@@ -149,7 +149,7 @@ def test_command_line(spark, tmp_path, capsys):
     run = lambda *a: cli.run(cli.parser().parse_args([str(x) for x in a]), spark)
     assert run("summarize", path, "-n", 1, "--json") == 0 and "Title" not in capsys.readouterr().out
     assert run("keyphrases", path, "--method", "yake") == 0
-    assert run("analyze", path, "-s") == 0 and "# Title: 1 paragraphs, 2 sentences, 9 words" in capsys.readouterr().out
+    assert run("analyze", path, "-s") == 0 and "# Title: 1 paragraphs, 2 sentences, 8 words" in capsys.readouterr().out
     (tmp_path / "empty.txt").write_text("")
     assert run("summarize", tmp_path / "empty.txt") == 1
     assert cli.main(["analyze", str(tmp_path / "none")]) == 2
