@@ -5,10 +5,12 @@ are those of the segmentation with the largest sum of piece scores; equal sums g
 is longest, then likewise leftwards. A character no piece covers scores UNKNOWN_PENALTY below the worst piece and
 counts one token for each of its UTF-8 bytes.
 
-The best score of a prefix depends on that prefix alone. So the distinct pre-tokens go into a trie, each node holds the
-forward score and the count of its prefix, computed once from the nodes above it, and a terminal's count is the
-pre-token's. A document's count is the sum over its words. Tries are local to a task and bounded by MAX_NODES; beyond
-that a new one starts, which costs time and changes no result. There is no shuffle.
+The best score of a prefix depends on that prefix alone. So the distinct pre-tokens of a batch of texts form a trie, each
+of whose nodes has the forward score and the counts of its prefix, computed once from the nodes above it; a terminal's
+counts are the pre-token's. Sorted pre-tokens visit the trie depth first, so only the nodes of the present path are held,
+and of the rest the terminals. Terminals stay for the next batches of a task, up to MAX_LETTERS of their letters; beyond
+that they are dropped, which costs time and changes no result. A document's count is the sum over its words. There is no
+shuffle.
 
 Null and empty texts have no words and zero tokens. Repeated rows and null ids stay as they are; other columns are
 ignored; an empty table gives an empty result.
@@ -22,8 +24,8 @@ from .common import arrow_map
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MAX_NODES = 400_000
-#: Pre-tokens with more characters are computed alone and not kept, so one endless word can't fill the trie.
+MAX_LETTERS = 2_000_000
+#: Pre-tokens with more characters are computed alone and not kept, so one endless word can't fill the path.
 MAX_KEPT = 96
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long, score double"
 
@@ -41,69 +43,82 @@ def load_pieces(path: str) -> dict[str, float]:
     }
 
 
-class TrieCounter:
-    """Counts of pre-tokens; see the module's text.
+Node = tuple[int, int, float]  # tokens, unknown characters, forward score
+
 
-    A node is [score, tokens, unknown, children]. count(word) returns (tokens, unknown characters, score).
-    """
+class TrieCounter:
+    """Counts of pre-tokens; see the module's text. `max_nodes` bounds the letters, so the nodes, that kept terminals stand for."""
 
-    def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES) -> None:
+    def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_LETTERS) -> None:
         self.pieces, self.max_nodes = pieces, max_nodes
         self.longest = max(map(len, pieces), default=0)
         self.endings = {piece[at:] for piece in pieces for at in range(len(piece))}  # what no piece ends in can't grow into one
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
-        self.clear()
-
-    def clear(self) -> None:
-        self.root, self.nodes, self.kept = [0.0, 0, 0, {}], 1, {}
+        self.kept: dict[bytes, Node] = {}
+        self.letters = 0
 
-    def _node(self, marked: str, end: int, path: list[list]) -> list:
+    def _node(self, marked: str, end: int, path: list[Node]) -> Node:
         """The node of marked[:end]; path holds the nodes of all shorter prefixes that a piece can reach back to."""
-        before = path[-1]
+        pieces, endings = self.pieces, self.endings
+        tokens, unknown, score = path[-1]
         letter = marked[end - 1]
-        score = self.pieces.get(letter)
-        if score is None:
-            best = (before[0] + self.unknown, before[1] + len(letter.encode("utf-8", "surrogatepass")), before[2] + 1)
+        gain = pieces.get(letter)
+        if gain is None:
+            best = (tokens + len(letter.encode("utf-8", "surrogatepass")), unknown + 1, score + self.unknown)
         else:
-            best = (before[0] + score, before[1] + 1, before[2])
-        for size in range(2, min(end, self.longest) + 1):
-            part = marked[end - size : end]
-            if part not in self.endings:
+            best = (tokens + 1, unknown, score + gain)
+        for start in range(end - 2, max(-1, end - self.longest - 1), -1):
+            part = marked[start:end]
+            if part not in endings:
                 break
-            score = self.pieces.get(part)
-            if score is not None:
-                before = path[-size]
-                if before[0] + score >= best[0]:  # of equal ones the longest
-                    best = (before[0] + score, before[1] + 1, before[2])
-        return [*best, {}]
-
-    def count(self, word: str) -> tuple[int, int, float]:
-        marked = MARK + word
-        if len(marked) > MAX_KEPT:
-            path = [self.root]
-            for end in range(1, len(marked) + 1):
+            gain = pieces.get(part)
+            if gain is not None:
+                tokens, unknown, score = path[start - end]
+                if score + gain >= best[2]:  # of equal ones the longest
+                    best = (tokens + 1, unknown, score + gain)
+        return best
+
+    def _alone(self, marked: str) -> Node:
+        path: list[Node] = [(0, 0, 0.0)]
+        for end in range(1, len(marked) + 1):
+            path.append(self._node(marked, end, path))
+            if len(path) > self.longest + 1:
+                del path[0]
+        return path[-1]
+
+    def _visit(self, words: set[bytes]) -> None:
+        """Put the terminals of `words` into kept, by a depth-first walk of their trie."""
+        path, before = [(0, 0, 0.0)], ""
+        for marked, word in sorted((MARK + w.decode("utf-8", "surrogatepass"), w) for w in words):
+            if len(marked) > MAX_KEPT:
+                self.kept[word] = self._alone(marked)
+                continue
+            same, most = 0, min(len(before), len(marked))
+            while same < most and marked[same] == before[same]:
+                same += 1
+            del path[same + 1 :]
+            for end in range(same + 1, len(marked) + 1):
                 path.append(self._node(marked, end, path))
-                if len(path) > self.longest + 1:
-                    del path[0]
-            return path[-1][1], path[-1][2], path[-1][0]
-        node, path = self.root, [self.root]
-        for end, letter in enumerate(marked, 1):
-            below = node[3].get(letter)
-            if below is None:
-                below = node[3][letter] = self._node(marked, end, path)
-                self.nodes += 1
-            path.append(node := below)
-        return node[1], node[2], node[0]
-
-    def __call__(self, word: bytes) -> tuple[int, int, float]:
-        found = self.kept.get(word)
-        if found is None:
-            if self.nodes > self.max_nodes:
-                self.clear()
-            found = self.count(word.decode("utf-8", "surrogatepass"))
-            if len(word) <= 4 * MAX_KEPT:
-                self.kept[word] = found
-        return found
+            self.kept[word], before = path[-1], marked
+            self.letters += len(marked)
+
+    def counts(self, texts: list[list[bytes]]) -> list[Node]:
+        """The sums over the words of each text."""
+        if self.letters > self.max_nodes:
+            self.kept, self.letters = {}, 0
+        new = set().union(*texts) - self.kept.keys()
+        self._visit(new)
+        out = []
+        for words in texts:
+            tokens, unknown, scores = zip(*map(self.kept.__getitem__, words), strict=True) if words else ((), (), ())
+            out.append((sum(tokens), sum(unknown), float(sum(scores))))
+        for word in new:
+            if len(word) >= MAX_KEPT and len(word.decode("utf-8", "surrogatepass")) >= MAX_KEPT:
+                del self.kept[word]
+        return out
+
+    def __call__(self, word: bytes) -> Node:
+        return self.counts([[word]])[0]
 
 
 def token_counts(documents: DataFrame, model_path: str) -> DataFrame:
@@ -113,15 +128,9 @@ def token_counts(documents: DataFrame, model_path: str) -> DataFrame:
         counter = TrieCounter(load_pieces(model_path))
 
         def work(batch):
-            words, tokens, unknown, scores = [], [], [], []
-            for text in batch["text"].to_pylist():
-                own = (text or "").encode("utf-8", "surrogatepass").split()
-                found = list(map(counter, own))
-                words.append(len(own))
-                tokens.append(sum(x[0] for x in found))
-                unknown.append(sum(x[1] for x in found))
-                scores.append(float(sum(x[2] for x in found)))
-            return {"doc_id": batch["doc_id"], "n_words": words, "n_tokens": tokens, "n_unknown": unknown, "score": scores}
+            texts = [(text or "").encode("utf-8", "surrogatepass").split() for text in batch["text"].to_pylist()]
+            tokens, unknown, scores = zip(*counter.counts(texts), strict=True) if texts else ((), (), ())
+            return {"doc_id": batch["doc_id"], "n_words": list(map(len, texts)), "n_tokens": tokens, "n_unknown": unknown, "score": scores}
 
         return work
 
