@@ -136,9 +136,14 @@ def with_runs(documents: DataFrame, text: Column, base: str, into: str) -> DataF
     """Adds an array of (start, kind, end, bin) of the runs that no base span overlaps and no test vetoes."""
     found = _guarded(text, RUN, _all_matches(text, RUN, KINDS.index("random"), 0, 20))
     alone = F.filter(found, lambda r: ~F.exists(F.col(base), lambda b: (b.start < r.end) & (r.start < b.end)))
+
+    def bin_of(p: Column) -> Column:
+        # least() skips nulls, so a vetoed run has to be told apart first.
+        return F.when(p.isNotNull(), F.least(F.floor(p / BIN), F.lit(BINS)).cast("int"))
+
     binned = F.transform(
         alone,
-        lambda r: F.struct(r.start.alias("start"), r.kind.alias("kind"), r.end.alias("end"), F.least(F.floor(_minus_log_p(r.match) / BIN), F.lit(BINS)).cast("int").alias("bin")),
+        lambda r: F.struct(r.start.alias("start"), r.kind.alias("kind"), r.end.alias("end"), _let(_minus_log_p(r.match), bin_of).alias("bin")),
     )
     return documents.withColumn(into, binned)
 

@@ -250,3 +250,14 @@ def test_pipeline_runs_and_its_decisions_hold(spark):
     kept = {r.doc_id for r in rows}
     bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
     assert kept and len(kept & bad) <= 0.1 * len(bad) + 1
+
+
+def test_vetoed_runs_are_not_secrets(spark):
+    """Runs of no variance, which the battery must veto, are neither found, redacted nor discoveries."""
+    vetoed = ["0" * 22, "1" * 23, "-" * 20 + "2024" + "-" * 8]
+    assert [random_p(v) for v in vetoed] == [None] * 3
+    texts = spark.createDataFrame(list(enumerate(f"a {v} b" for v in vetoed)), "doc_id long, text string")
+    assert [r.all_spans for r in secrets.scan(texts).collect()] == [[], [], []]
+    assert [r.text for r in secrets.redact(texts).orderBy("doc_id").collect()] == [f"a {v} b" for v in vetoed]
+    runs = secrets.with_runs(secrets.with_base_spans(texts, F.col("text"), "base"), F.col("text"), "base", "runs")
+    assert [r.bin for row in runs.collect() for r in row.runs] == [None] * 3 and secrets.discovery_bin(runs, "runs") == secrets.BINS + 1
