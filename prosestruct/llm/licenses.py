@@ -1,7 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Words are runs of letters and digits after A-Z are lower-cased: anything but ASCII signs, controls and spaces. A block
-is a line's words; a template matches it if the block holds at least THRESHOLD of the template's distinct words. Words
+is the words of a line, or of a span of consecutive lines with words: notices are wrapped. A span grows from its first
+line until the lines behind that hold as many words as the longest template, so it takes in whole any template that begins
+in its first line, however it is wrapped. A template matches a block that holds at least THRESHOLD of the template's
+distinct words; a span is shortened to the lines it takes to match, and belongs to the first of them. Words
 of templates are ordered by how many documents of the whole corpus hold them, rarest first, ties by the word. By the
 prefix filter a block that meets the threshold holds one of the first |T| - ceil(THRESHOLD * |T|) + 1 words of T, so
 only those are indexed; the length filter drops blocks with fewer distinct words than needed; the positional filter
@@ -16,6 +19,7 @@ columns are ignored; an empty table gives an empty result. Only the counts of th
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -71,13 +75,17 @@ class ContainmentIndex:
 
     def __call__(self, block: set[bytes]) -> list[tuple[str, int, int]]:
         """(label, words found, words of the template) of each match."""
+        return [(self.templates[number][0], hits, len(self.templates[number][1])) for number, hits in self.find(block)]
+
+    def find(self, block: set[bytes]) -> list[tuple[int, int]]:
+        """(template, words found) of each match."""
         found, seen = [], set()
         for word in sorted(block & self.prefixes.keys()):
             for number, _ in self.prefixes[word]:
                 if number in seen:
                     continue
                 seen.add(number)
-                label, order, need = self.templates[number]
+                _, order, need = self.templates[number]
                 if len(block) < need:  # length filter
                     continue
                 hits = 0
@@ -86,9 +94,30 @@ class ContainmentIndex:
                     if hits + len(order) - at - 1 < need:  # positional filter
                         break
                 else:
-                    found.append((label, hits, len(order)))
+                    found.append((number, hits))
         return found
 
+    def blocks(self, lines: list[list[bytes]], longest: int) -> Iterator[tuple[int, str, float, bool]]:
+        """(line, label, containment, whether the match begins there) of each match of the longest span from each line."""
+        held = [(number, set(words), len(words)) for number, words in enumerate(lines) if words]
+        for at, (line, own, _) in enumerate(held):
+            span, behind, end = set(own), 0, at + 1
+            while end < len(held) and behind < longest:
+                span |= held[end][1]
+                behind += held[end][2]
+                end += 1
+            for number, hits in self.find(span):
+                label, order, need = self.templates[number]
+                wanted, without = set(order), set()
+                with_own = wanted & own
+                # The fewest lines that match; if those behind the first do so alone, the match begins later.
+                for _, words, _ in held[at + 1 : end]:
+                    if len(with_own) >= need:
+                        break
+                    without |= wanted & words
+                    with_own |= without
+                yield line, label, hits / len(order), len(without) < need
+
 
 def places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """(index of the first word, label) of every place where a phrase's words stand consecutively."""
@@ -122,9 +151,10 @@ def template_word_counts(documents: DataFrame, templates=TEMPLATES) -> dict[byte
 
 def license_scan(documents: DataFrame, templates=TEMPLATES, base=BASE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (largest containment; 1 with a base
-    phrase), and blocks: label:line for each matching line, lines from 0, comma-joined."""
+    phrase), and blocks: label:line for each matching line and the first of each matching span, lines from 0, comma-joined."""
     counts = template_word_counts(documents, templates)
     sets = template_sets(templates)
+    longest = max((len(words_of(text)) for _, text in templates), default=0)
     phrases = {phrase.encode(): label for phrase, label in base.items()}
 
     def make():
@@ -137,10 +167,10 @@ def license_scan(documents: DataFrame, templates=TEMPLATES, base=BASE, threshold
             best, blocks = 0.0, []
             present = set(words)
             if not index.prefixes.keys().isdisjoint(present):
-                for number, line in enumerate(lowered.split(b"\n")):
-                    for label, hits, size in index(set(line.split())):
+                for number, label, share, begins in index.blocks([line.split() for line in lowered.split(b"\n")], longest):
+                    best = max(best, share)
+                    if begins:
                         blocks.append((number, label))
-                        best = max(best, hits / size)
             labels = {x for _, x in base_places}
             return (
                 len(words), len(base_places), base_places[0][0] if base_places else None, base_places[-1][0] if base_places else None,

@@ -261,3 +261,41 @@ def test_vetoed_runs_are_not_secrets(spark):
     assert [r.text for r in secrets.redact(texts).orderBy("doc_id").collect()] == [f"a {v} b" for v in vetoed]
     runs = secrets.with_runs(secrets.with_base_spans(texts, F.col("text"), "base"), F.col("text"), "base", "runs")
     assert [r.bin for row in runs.collect() for r in row.runs] == [None] * 3 and secrets.discovery_bin(runs, "runs") == secrets.BINS + 1
+
+
+def test_wrapped_license_notices_are_found(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+        "gpl": " * it under the terms of the GNU General Public License as published by\n *\n * the Free Software Foundation, either version 3",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    }
+    texts = [f"first line\n\n{text}\nlast line" for text in notices.values()] + ["Permission is hereby granted\n" + "other words here\n" * 20 + "to any person obtaining a copy of this software"]
+    texts += ["\n".join(licenses.TEMPLATES[1][1].split()), "x\n" + licenses.TEMPLATES[6][1] + "\ny"]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, label in zip(rows, notices, strict=False):
+        assert label in r.labels.split(",") and f"{label}:2" in r.blocks.split(",") and r.score == 1.0
+    assert (rows[4].labels, rows[4].score) == ("", 0.0)
+    assert rows[5].labels == "mit" and rows[5].score == 1.0
+    assert rows[6].blocks == "bsd:1"
+
+
+def test_spans_of_lines_against_brute_force():
+    draw = random.Random(6)
+    sets = licenses.template_sets()
+    longest = max(len(licenses.words_of(t)) for _, t in licenses.TEMPLATES)
+    index = licenses.ContainmentIndex(sets, {})
+    for _ in range(60):
+        words = licenses.words_of(" ".join(draw.choice(licenses.TEMPLATES)[1] + " filler" * draw.randint(0, 12) for _ in range(4)))
+        lines = [[]]
+        for w in words:
+            if draw.random() < 0.25:
+                lines.append([])
+            lines[-1].append(w)
+        share = lambda t, a, b: len(t & {w for x in lines[a:b] for w in x}) / len(t)
+        spans = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if lines[a] and sum(map(len, lines[a + 1 : b - 1])) < longest]
+        fits = {n: [s for s in spans if share(t, *s) >= 0.8 - 1e-9] for n, (_, t) in enumerate(sets)}
+        first = {(a, sets[n][0]) for n, v in fits.items() for a, b in v if not share(sets[n][1], a + 1, b) >= 0.8 - 1e-9 and not any(c == a and d < b for c, d in v)}
+        found = list(index.blocks(lines, longest))
+        assert {(line, label) for line, label, _, begins in found if begins} == first
+        assert max((f[2] for f in found), default=0) == max((share(sets[n][1], *s) for n, v in fits.items() for s in v), default=0)
