@@ -1,17 +1,23 @@
 """Nearest neighbours by inner product, with cross-polytope hashing.
 
 A table of the index turns a unit vector by a fast pseudo-rotation (three rounds of random signs and a Hadamard
-transform) and assigns it to the nearest of the 2 * dim signed axes. A query probes, in each of TABLES tables, the PROBES
-axes nearest to it. Vectors that share a probed axis are candidates; their scores are computed exactly, in double
-precision, on the original vectors. Vectors of different lengths get one more component, sqrt(M^2 - |x|^2) for the
-largest length M, which makes the order of inner products that of angles; the query's is zero.
+transform) and assigns it to the nearest of the 2 * dim signed axes. A query probes, in each of TABLES tables, the axes
+nearest to it. Vectors that share a probed axis are candidates; their scores are computed exactly, in double precision, on
+the original vectors.
+
+How many axes are probed depends on what a row needs to stay. A row is hashed by its direction alone; to be among the k
+nearest it must reach the query's k-th best score so far, so the cosine it needs is that score divided by its length. The
+probes for a cosine are those by which the share HIT of random pairs at that cosine meet in some table, PROBES at least,
+counted on the index itself, so padding and every dimension are in it. Long rows need a small cosine and are probed
+widely, short ones narrowly; no length has a bearing on how others are hashed. While a query has fewer than k rows, all are
+candidates.
 
 Every row is indexed, by the task that reads it: queries come to the rows in blocks of bounded size, each block broadcast
 in turn, and a task keeps QUERY's k nearest of its own rows. So a vector that a third of the rows repeat costs no more
 than others, and what is shuffled is k rows for each query and task.
 
-PROBES and TABLES give a recall of 0.9 or more against brute force on vectors without structure, the hardest case (tests
-measure it); it rises with structure. Nearest first, ties to the smaller vec_id.
+Recall against brute force is 0.9 or more on vectors without structure, of equal and of unequal lengths (tests measure it).
+Nearest first, ties to the smaller vec_id.
 
 Vectors that are null, zero or empty, or hold null or non-finite components, and rows with a null id take no part; nor do
 vectors whose dimension isn't the commonest (the larger of equally common ones). A row with the query's vec_id is its
@@ -32,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, to_batch
 
 TABLES, PROBES, SEED = 16, 5, 11
+#: Share of pairs that meet, steps of the cosine from 0 to 1, and random pairs drawn for each.
+HIT, STEPS, DRAWN = 0.96, 32, 512
 #: Numbers in a block of queries (8 bytes each).
 BLOCK_NUMBERS = 262_144
 #: Rows scored at a time, and pairs whose exact scores are computed at a time.
@@ -70,16 +78,32 @@ class CrossPolytope:
             out.append(2 * at + (y[np.arange(len(y)), at] < 0))
         return out
 
-    def probes(self, x: np.ndarray, n: int) -> list[np.ndarray]:
-        """For each table a mask (rows, 2 * width) of the n axes nearest to each row."""
+    def ranks(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each table the place (rows, 2 * width) of every signed axis in the order of nearness to each row."""
         out = []
         for y in self.turned(x):
-            both = np.stack([y, -y], axis=2).reshape(len(y), -1)
-            mask = np.zeros(both.shape, dtype=bool)
-            np.put_along_axis(mask, np.argpartition(-both, min(n, both.shape[1] - 1), axis=1)[:, :n], True, axis=1)
-            out.append(mask)
+            order = np.argsort(-np.abs(y), axis=1)
+            near = np.empty(y.shape, dtype=np.int16 if 2 * self.width <= 1 << 15 else np.int32)
+            np.put_along_axis(near, order, np.arange(self.width, dtype=near.dtype)[None, :], axis=1)
+            far = 2 * self.width - 1 - near
+            out.append(np.stack([np.where(y < 0, far, near), np.where(y < 0, near, far)], axis=2).reshape(len(y), -1))
         return out
 
+    def limits(self, dim: int, least: int) -> np.ndarray:
+        """Probes by cosine needed: all axes below 0, then for each step those that the step's lower end takes."""
+        draw = np.random.default_rng(SEED)
+        q, u = draw.normal(size=(2, DRAWN, dim))
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        u -= (u * q).sum(axis=1, keepdims=True) * q
+        u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+        ranks, rows = self.ranks(q), np.arange(DRAWN)
+        out = [2 * self.width]
+        for cosine in np.arange(STEPS + 1) / STEPS:
+            axes = self.axes(cosine * q + np.sqrt(1 - cosine**2) * u)
+            met = np.min([rank[rows, axis] for rank, axis in zip(ranks, axes, strict=True)], axis=0)
+            out.append(max(least, int(np.quantile(met, HIT, method="higher")) + 1))
+        return np.array(out, dtype=ranks[0].dtype)
+
 
 def usable(embeddings: DataFrame) -> DataFrame:
     """vec_id, v (array of doubles), norm and dim of the rows that take part."""
@@ -95,22 +119,19 @@ def usable(embeddings: DataFrame) -> DataFrame:
 class Nearest:
     """The k nearest rows so far of each query of a block."""
 
-    def __init__(self, index: CrossPolytope, ids: np.ndarray, vectors: np.ndarray, top: float, k: int, probes: int) -> None:
-        self.index, self.ids, self.vectors, self.top, self.k = index, ids, vectors, top, k
-        self.masks = index.probes(self._lifted(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), None), probes)
+    def __init__(self, index: CrossPolytope, limits: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.index, self.limits, self.ids, self.vectors, self.k = index, limits, ids, vectors, k
+        self.ranks = index.ranks(vectors)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.norms = np.linalg.norm(vectors, axis=1)
         self.least = np.full(len(ids), -np.inf)
 
-    def _lifted(self, x: np.ndarray, norms: np.ndarray | None) -> np.ndarray:
-        if not self.top:
-            return x if norms is None else x / norms[:, None]
-        rest = np.zeros(len(x)) if norms is None else np.sqrt(np.maximum(0, 1 - (norms / self.top) ** 2))
-        return np.column_stack([x if norms is None else x / self.top, rest])
-
     def add(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
+        cosine = (self.least / self.norms)[:, None] / norms[None, :]
+        limit = self.limits[np.clip(np.floor(cosine * STEPS) + 1, 0, STEPS + 1).astype(np.int64)]
         candidate = np.zeros((len(self.ids), len(ids)), dtype=bool)
-        for mask, axis in zip(self.masks, self.index.axes(self._lifted(vectors, norms)), strict=True):
-            candidate |= mask[:, axis]
+        for rank, axis in zip(self.ranks, self.index.axes(vectors), strict=True):
+            candidate |= rank[:, axis] < limit
         candidate &= self.ids[:, None] != ids[None, :]
         rough = np.where(candidate, self.vectors @ vectors.T, -np.inf)
         least = self.least
@@ -142,10 +163,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, tables: int = T
     spark = embeddings.sparkSession
     rows = usable(embeddings)
     asked = rows.where(F.col("vec_id") % every == 0)
-    facts = rows.agg(F.max("norm").alias("top"), F.min("norm").alias("low"), F.max("dim").alias("dim"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked")).first()
+    facts = rows.agg(F.max("dim").alias("dim"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked")).first()
     dim = facts["dim"] or 1
-    top = float(facts["top"]) if facts["top"] and facts["top"] - facts["low"] > 1e-3 * facts["top"] else 0.0
-    index = CrossPolytope(dim + bool(top), tables)
+    index = CrossPolytope(dim, tables)
+    limits = index.limits(dim, probes)
     schema = arrow_schema(embeddings, SCHEMA)
     blocks = max(1, -(-(facts["asked"] or 0) * dim // BLOCK_NUMBERS))
     parts = []
@@ -157,7 +178,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, tables: int = T
         held = spark.sparkContext.broadcast((ids, vectors))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            best = Nearest(index, *held.value, top, k, probes) if len(held.value[0]) else None
+            best = Nearest(index, limits, *held.value, k) if len(held.value[0]) else None
             for batch in batches:
                 for at in range(0, batch.num_rows if best else 0, ROWS):
                     part = batch.slice(at, ROWS)

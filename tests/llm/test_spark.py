@@ -299,3 +299,27 @@ def test_spans_of_lines_against_brute_force():
         found = list(index.blocks(lines, longest))
         assert {(line, label) for line, label, _, begins in found if begins} == first
         assert max((f[2] for f in found), default=0) == max((share(sets[n][1], *s) for n, v in fits.items() for s in v), default=0)
+
+
+def lengths(kind, draw, n):
+    out = np.ones(n)
+    if kind == "outlier":
+        out[7] = 10.0
+    return {"near": draw.uniform(0.9, 1.1, n), "lognormal": draw.lognormal(0, 0.5, n)}.get(kind, out)
+
+
+@pytest.mark.parametrize("kind, dim", [("near", 64), ("lognormal", 64), ("outlier", 64), ("equal", 128), ("equal", 65)])
+def test_nearest_recall_whatever_the_lengths_and_width(spark, kind, dim):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(4000, dim))
+    x *= (lengths(kind, draw, len(x)) / np.linalg.norm(x, axis=1))[:, None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    got: dict = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / (200 * 20) >= 0.9
