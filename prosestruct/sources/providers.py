@@ -19,8 +19,8 @@ from ..schema import TOKENS, sql_list
 
 Provider = Callable[[DataFrame], DataFrame]
 
-# Fixed values of the rules provider. A sentence ends at end marks, or after 500 characters.
-SENTENCE = r"[^.!?]{1,500}[.!?]*"
+# Fixed values of the rules provider. A sentence ends at end marks, however long it is.
+SENTENCE = r"[^.!?]+[.!?]*"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 CLOSED = {
     "DET": ("the", "a", "an", "this", "these", "those"),

@@ -1,6 +1,7 @@
 """Functions, detections, gates and laws on small cases of their own."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,13 @@ def test_stream_matches_batch(spark, tmp_path):
     seen = []
     analyze_stream(stream, Engine(suite=()), lambda d, e, n: seen.extend(r.doc_id for r in d.collect())).trigger(availableNow=True).start().awaitTermination()
     assert sorted(seen) == [0, 1]
+
+
+def test_long_sentences_are_not_cut(spark):
+    words = [f"word{i}x" for i in range(2000)]
+    texts = ["They claimed " + " ".join(words), "no marks here " * 40 + "may end. Next one?! Last", "y" * 1300]
+    raw = spark.createDataFrame([(i, None, t, "plain") for i, t in enumerate(texts)], "doc_id long, path string, text string, format string")
+    rows = Engine().parse(raw)[1].orderBy("doc_id", "sent_idx").collect()
+    assert [(r.doc_id, r.text) for r in rows] == [(i, s.strip()) for i, t in enumerate(texts) for s in re.findall(r"[^.!?]+[.!?]*", t)]
+    assert [t.text for t in rows[0].tokens] == ["They", "claimed", *words] and [t.head for t in rows[0].tokens].count(0) == 1
+    assert [t.text for t in rows[-1].tokens] == ["y" * 1300]
