@@ -195,6 +195,17 @@ LEFT JOIN (SELECT doc_id, sent_idx, head, min(id) AS id, min_by(lemma, id) AS le
 SELECT s.sent, CAST((SELECT count(*) FROM tok t JOIN tok v ON v.sent = t.sent AND v.id = t.head AND v.pos = 'VERB' WHERE t.sent = s.sent AND t.dep = 'ccomp' AND v.lemma IN ('say', 'claim')) AS BIGINT) AS reportings,
   CAST((SELECT count(*) FROM tok t JOIN roots x ON x.sent = t.sent AND x.id = t.head WHERE t.sent = s.sent AND t.dep = 'advmod' AND t.lemma IN ('reportedly', 'never')) AS BIGINT) AS root_adverbials
 FROM (SELECT DISTINCT sent FROM tok) s""",
+    "document_reportings_in_lexicon": f"""WITH {TOKENS}, {_ROOTS},
+told AS (SELECT t.doc_id, t.sent_idx, count(*) AS n FROM tok t JOIN tok v ON {_same('v', 't')} AND v.id = t.head AND v.pos = 'VERB' WHERE t.dep = 'ccomp' AND v.lemma IN ('claimed', 'reported', 'stated') GROUP BY ALL),
+advs AS (SELECT t.doc_id, t.sent_idx, count(*) AS n FROM tok t JOIN roots x ON {_same('x', 't')} AND x.id = t.head WHERE t.dep = 'advmod' AND t.lemma IN ('reportedly', 'never', 'not') GROUP BY ALL)
+SELECT {_SENT}, CAST(coalesce(told.n, 0) AS BIGINT) AS reportings, CAST(coalesce(advs.n, 0) AS BIGINT) AS root_adverbials
+FROM (SELECT DISTINCT doc_id, sent_idx FROM tok) t LEFT JOIN told ON {_same('told', 't')} LEFT JOIN advs ON {_same('advs', 't')}""",
+    "document_subtrees": f"""WITH RECURSIVE {TOKENS}, up(doc_id, sent_idx, id, top) AS (SELECT doc_id, sent_idx, id, id FROM tok
+  UNION SELECT u.doc_id, u.sent_idx, u.id, t.head FROM up u JOIN tok t ON {_same('t', 'u')} AND t.id = u.top WHERE t.head <> 0)
+SELECT {_HEAD}, CAST(id AS BIGINT) AS id, CAST(top AS BIGINT) AS top FROM up""",
+    "document_heads": f"""WITH {TOKENS}, below AS (SELECT doc_id, sent_idx, head, count(*) AS n FROM tok GROUP BY ALL)
+SELECT {_SENT}, CAST(t.id AS BIGINT) AS id, CAST(h.id AS BIGINT) AS head, CAST(coalesce(b.n, 0) AS BIGINT) AS children
+FROM tok t LEFT JOIN tok h ON {_same('h', 't')} AND h.id = t.head AND t.head <> 0 LEFT JOIN below b ON {_same('b', 't')} AND b.head = t.id""",
     "hearst_pairs": _HEARST,
     "tree_depths": f"""WITH RECURSIVE {TREES}, {_TREE_WALK}
 SELECT sent, CASE WHEN max(far) >= 199 THEN 9223372036854775807 ELSE CAST(max(far) AS BIGINT) END AS depth FROM walk GROUP BY sent""",

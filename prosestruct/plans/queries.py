@@ -155,6 +155,37 @@ def heads(spark, sf_dir):
     return each.select("sent", F.col("own").cast("long").alias("id"), tree.head_of("own")["id"].cast("long").alias("head"), F.size(tree.children_of("own")).cast("long").alias("children"))
 
 
+def _sentences(spark, sf_dir) -> DataFrame:
+    """Parsed sentences of the whole table: doc_id, sent_idx, tokens."""
+    return parsed(spark, sf_dir)[1].withColumn("sent_idx", F.col("sent_idx").cast("long"))
+
+
+@query
+def document_reportings_in_lexicon(spark, sf_dir):
+    found = detect(_sentences(spark, sf_dir))
+    return found.select("doc_id", "sent_idx", F.size(tree.in_lexicon("reportings", "verb_lemma", F.array(F.lit("claimed"), F.lit("reported"), F.lit("stated")))).cast("long").alias("reportings"),
+        F.size(tree.in_lexicon("root_adverbials", "adv_lemma", F.array(F.lit("reportedly"), F.lit("never"), F.lit("not")))).cast("long").alias("root_adverbials"))
+
+
+@query
+def document_subtrees(spark, sf_dir):
+    """Each token with all above it: the same pairs as subtree() of every token, by walks up as long as the tree is deep."""
+    up = "try_element_at(tokens, element_at(s, -1)).head"
+    walk = f"aggregate(sequence(1, greatest(1, cast(depth AS INT))), array(t.id), (s, k) -> IF({up} > 0, concat(s, array({up})), s))"
+    pairs = F.expr(f"flatten(transform(tokens, t -> transform({walk}, a -> named_struct('id', cast(t.id AS BIGINT), 'top', cast(a AS BIGINT)))))")
+    each = _sentences(spark, sf_dir).withColumn("depth", tree.tree_depth())
+    return each.select("doc_id", "sent_idx", F.explode(pairs).alias("p")).select("doc_id", "sent_idx", "p.id", "p.top")
+
+
+@query
+def document_heads(spark, sf_dir):
+    """head_of() and children_of() of every token, in the sentence's row: looked up by place, not by a filter for each."""
+    head = "cast(IF(t.head > 0, try_element_at(tokens, greatest(1, t.head)).id, NULL) AS BIGINT)"
+    each = F.expr(f"transform(tokens, t -> named_struct('id', cast(t.id AS BIGINT), 'head', {head}, 'children', cast(size(filter(heads, h -> h = t.id)) AS BIGINT)))")
+    rows = _sentences(spark, sf_dir).withColumn("heads", F.expr("transform(tokens, t -> t.head)"))
+    return rows.select("doc_id", "sent_idx", F.explode(each).alias("p")).select("doc_id", "sent_idx", "p.id", "p.head", "p.children")
+
+
 @query
 def feat_lookup(spark, sf_dir):
     rows = spark.createDataFrame(FEATS, "feats STRING, wanted STRING")
