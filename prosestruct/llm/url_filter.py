@@ -144,9 +144,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 def train(ruled: DataFrame, max_fit: int = MAX_FIT) -> tuple[Boosted, dict]:
     known = ruled.where("listed IS NOT NULL").select("url", "host", "path", "listed")
-    rows = known.orderBy(F.md5("url"), "url").limit(max_fit).collect()
+    rows = known.distinct().orderBy(F.md5("url"), "url").limit(max_fit).collect()
     good = np.array([r.listed == "allow" for r in rows], dtype=float)
-    suffixes = suffix_counts([r.host for r in rows], good)
+    # Labelled hosts lie under the rules' hosts, so their last labels are few however many rows there are.
+    last, two = F.substring_index("host", ".", -1), F.substring_index("host", ".", -2)
+    keys = known.select((F.col("listed") == "allow").cast("long").alias("good"), F.explode(F.array_distinct(F.array(last, two))).alias("key"))
+    counts = keys.groupBy("key").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    suffixes = {r.key: (r.good, r.n) for r in counts}
     x = np.array([lexical(r.url, r.host, r.path, suffixes) for r in rows])
     return fit(x, good), suffixes
 

@@ -323,3 +323,16 @@ def test_nearest_recall_whatever_the_lengths_and_width(spark, kind, dim):
         scores[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
     assert hits / (200 * 20) >= 0.9
+
+
+def test_url_suffixes_count_all_labelled_rows_and_the_sample_distinct_urls(spark):
+    verdict, host, path = url_filter.RULES[0]
+    other = next(r for r in url_filter.RULES if r[0] != verdict)
+    urls = [f"http://{host}{path}{i}" for i in range(30)] + [f"http://{other[1]}{other[2]}{i}" for i in range(30)]
+    repeated = min(urls, key=lambda u: hashlib.md5(u.encode()).hexdigest())
+    pages = spark.createDataFrame(list(enumerate(urls + [repeated] * 500)), "page_id long, url string")
+    ruled = url_filter.with_rules(pages, url_filter.RULES)
+    model, suffixes = url_filter.train(ruled, max_fit=40)
+    known = ruled.where("listed IS NOT NULL").collect()
+    assert len(known) == 560 and model.trees
+    assert suffixes == url_filter.suffix_counts([r.host for r in known], np.array([r.listed == "allow" for r in known]))
