@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
-    """The Arrow form of a DDL schema; also bounds the Arrow batches of the session."""
+    """The Arrow form of a DDL schema. Arrow batches of the session are bounded from here on; smaller settings stay."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -54,14 +54,26 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], ddl: st
     return df.mapInArrow(run, ddl)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table written once into spark.checkpoint.dir, which driver and executors share.
+def scratch_folder(spark) -> str:
+    """The application's folder under spark.checkpoint.dir, which driver and executors share; deleted when the driver ends.
 
-    A reliable checkpoint would compute df twice. Only where the setting is absent (local tests) is a temporary folder used.
+    Without that setting a temporary folder is used, but only where the executors are threads of the driver.
     """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
+        top = os.path.join(tempfile.gettempdir(), "prosestruct-checkpoints")
+    folder = f"{top.rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table written once into the scratch folder; a reliable checkpoint would compute df twice."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prosestruct-checkpoints")
-    folder = f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

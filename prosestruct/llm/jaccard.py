@@ -411,5 +411,5 @@ def representatives(documents: DataFrame, n: int = 5, num: int = 80, den: int =
 
     Rows with an empty set or a null id stay. Of rows with one id, all stay or none.
     """
-    gone = linked(documents, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = linked(documents, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return documents.join(gone, documents["doc_id"] == gone["gone"], "left_anti")

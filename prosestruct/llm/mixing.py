@@ -120,14 +120,6 @@ def compact(documents: DataFrame) -> DataFrame:
     )
 
 
-def _with_thresholds(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """rows joined with their source's thresholds, by the columns __key and __hash."""
-    found, spread = thresholds(compact(documents))
-    named = found.select(*(F.col(c).alias(f"__{c}") for c in found.columns))
-    joined = rows.join(F.broadcast(named) if spread else named, F.col("__key") == F.col("__source_key"))
-    return joined.withColumn("__taken", F.col("__copies") + F.when(F.col("__hash") < F.col("__below"), 1).otherwise(0))
-
-
 def mix(documents: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of each row."""
     sized = compact(documents)
@@ -138,7 +130,9 @@ def mix(documents: DataFrame) -> DataFrame:
 
 
 def draw(documents: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns it came with."""
-    rows = documents.withColumn("__key", key_of(F.col("source"))).withColumn("__hash", hash_of(F.col("doc_id")))
-    taken = F.least(F.col("__taken"), F.lit(MOST)).cast("int")
-    return _with_thresholds(rows, documents).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), taken))).select(*documents.columns)
+    """The mix itself: each row as often as it is taken, with the columns it came with, whatever their names."""
+    found, spread = thresholds(compact(documents))
+    rows = documents.select(F.struct("*").alias("row")).withColumn("key", key_of(F.col("row.source"))).withColumn("hash", hash_of(F.col("row.doc_id")))
+    joined = rows.join(F.broadcast(found) if spread else found, F.col("key") == F.col("source_key"))
+    taken = F.least(F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0), F.lit(MOST)).cast("int")
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(0), taken))).select("row.*")
