@@ -195,8 +195,33 @@ def test_url_trees_learn_and_are_bounded():
 
 
 def test_hadamard_is_a_rotation():
-    index = ann.CrossPolytope(50)
     x = np.random.default_rng(1).normal(size=(20, 50))
-    y = next(iter(index.turned(x)))
-    assert np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1) * 64**1.5)
-    assert zlib.crc32(b"") == 0
+    assert np.allclose(np.linalg.norm(ann.Rotation(50, 7, (1,)).turned(x), axis=1), np.linalg.norm(x, axis=1) * 64**1.5)
+
+
+def test_probes_are_the_largest_sums():
+    x = np.random.default_rng(2).normal(size=(5, 6))
+    for bits, most in ((3, 8), (6, 10), (7, 128), (10, 40)):
+        table = ann.CrossPolytope(6, bits, tables=2)
+        got = table.probes(x, most)
+        assert (got[:, :, 0] == table.cells(x)).all() or bits > 4  # one rotation: the likeliest cell is the row's own
+        for t, rotations in enumerate(table.rotations):
+            sums = np.zeros((5, 1))
+            for r in rotations:
+                sums = (sums[:, :, None] + (r.along(x) * np.sqrt(r.bits))[:, None, :]).reshape(5, -1)
+            for own, cells in zip(sums, got[:, t], strict=True):
+                assert len(set(cells.tolist())) == min(most, 1 << bits)
+                assert np.allclose(own[cells], np.sort(own)[::-1][: len(cells)])
+
+
+def test_the_scored_share_falls_with_the_rows():
+    draw = np.random.default_rng(3)
+    shares = []
+    for n in (500, 8000):
+        x = draw.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = [x[np.argsort(-(x @ x[i]))[1:21]] for i in range(48)]
+        index = ann.Index(64, {0: n}, x[:48], near)
+        table, probes = index.bands[0]
+        shares.append(1 - (1 - probes / 2**table.bits) ** table.tables)
+    assert shares[1] < 0.7 * shares[0] and shares[1] < 0.5

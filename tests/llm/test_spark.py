@@ -382,6 +382,34 @@ def test_nearest_recall_whatever_the_lengths_and_width(spark, kind, dim):
     assert hits / (200 * 20) >= 0.9
 
 
+def test_nearest_with_hot_cells_and_several_dimensions(spark, monkeypatch):
+    """A third of the rows lie in one cell, which is split on both sides; each dimension has neighbours of its own."""
+    monkeypatch.setattr(ann, "HOT", 16)
+    monkeypatch.setattr(ann, "TABLES", 4)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(900, 16))
+    x[::3] = x[0] + 1e-9 * draw.normal(size=(300, 16))
+    x[:150] = x[0]
+    rows = [(i, v, f"p{i}", i) for i, v in enumerate(x.tolist())] + [(1000 + i, v, "q", i) for i, v in enumerate(draw.normal(size=(30, 3)).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part string, asks int").repartition(5)
+    got: dict = {}
+    for r in ann.nearest(table, tables=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i, *_ in rows if i % 20 == 0}
+    hits = []
+    for q, found in got.items():
+        own, ids = (x, np.arange(900)) if q < 1000 else (np.array([v for i, v, *_ in rows if i >= 1000]), np.arange(1000, 1030))
+        scores = own @ own[q - ids[0]]
+        best = [i for i in np.lexsort((ids, -scores.round(12))) if ids[i] != q][:20]
+        assert [r for r, *_ in sorted(found)] == list(range(1, len(best) + 1))
+        floor = scores[best[-1]] - 1e-6
+        hits += [scores[v - ids[0]] >= floor for _, v, _ in found]
+        if q < 150:  # equal vectors tie: smaller ids first
+            equal = [v for _, v, s in sorted(found) if s == found[0][2]]
+            assert equal == sorted(equal)
+    assert np.mean(hits) > 0.93
+
+
 def test_url_suffixes_count_all_labelled_rows_and_the_sample_distinct_urls(spark):
     verdict, host, path = url_filter.RULES[0]
     other = next(r for r in url_filter.RULES if r[0] != verdict)
