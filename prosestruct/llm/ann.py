@@ -45,7 +45,7 @@ ROW_BITS, RANKED = 2, 8192
 #: Bytes of vectors in a part, and rows or queries from which a cell is split, or a part's fair share if that is more.
 PART_BYTES, HOT = 64 << 20, 4096
 #: Pairs whose scores are computed at a time, and vectors hashed at a time.
-PAIRS, HASHED = 32_768, 256
+PAIRS, HASHED = 4096, 256
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -60,7 +60,10 @@ class Rotation:
         h = 1
         while h < self.width:
             x = x.reshape(len(x), -1, 2, h)
-            x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(len(x), -1)
+            out = np.empty_like(x)
+            np.add(x[:, :, 0], x[:, :, 1], out=out[:, :, 0])
+            np.subtract(x[:, :, 0], x[:, :, 1], out=out[:, :, 1])
+            x = out.reshape(len(x), -1)
             h *= 2
         return x
 
@@ -215,21 +218,33 @@ class Best:
         self.ids, self.vectors, self.k = ids, vectors, k
         self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         self.least = np.full(len(ids), -np.inf)
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.waiting, self.held = [], 0
 
     def add(self, q: np.ndarray, r: np.ndarray, ids: list[np.ndarray], vectors: np.ndarray) -> None:
-        """Candidate pairs of query q and row r, where row r stands for ids[r]."""
-        sizes = np.array([len(x) for x in ids])
-        flat, starts = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.cumsum(sizes) - sizes
+        """Candidate pairs of query q and row r, in the order of rows, where row r stands for ids[r]."""
+        rough = np.empty(len(q))
+        cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(q)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if end > start:
+                np.dot(self.vectors.take(q[start:end], axis=0), vectors[r[start]], out=rough[start:end])
+        near = rough >= self.least[q] - 1e-12 * self.norms[q] * np.linalg.norm(vectors, axis=1)[r]
+        q, r = q[near], r[near]
         for at in range(0, len(q), PAIRS):
             a, b = q[at : at + PAIRS], r[at : at + PAIRS]
             score = np.einsum("ij,ij->i", self.vectors[a], vectors[b])  # alike for every pair, so equal vectors tie
-            near = score >= self.least[a]
-            a, b, score = a[near], b[near], score[near]
-            n = sizes[b]
-            vec = flat[np.repeat(starts[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            a, score = np.repeat(a, n), np.repeat(score, n)
+            sizes = np.array([len(ids[i]) for i in b])
+            vec, a, score = np.concatenate([ids[i] for i in b]), np.repeat(a, sizes), np.repeat(score, sizes)
             other = vec != self.ids[a]
-            self._keep(a[other], vec[other], score[other])
+            self.waiting.append((a[other], vec[other], score[other]))
+            self.held += len(vec)
+            if self.held > max(8 * PAIRS, len(self.found[0])):
+                self.trim()
+
+    def trim(self) -> None:
+        if self.waiting:
+            self._keep(*(np.concatenate(x) for x in zip(*self.waiting, strict=True)))
+        self.waiting, self.held = [], 0
 
     def _keep(self, q: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
         q, vec, score = (np.concatenate(x) for x in zip(self.found, (q, vec, score), strict=True))
@@ -245,6 +260,7 @@ class Best:
         self.least[q[last]] = score[last]
 
     def rows(self, schema: pa.Schema) -> pa.RecordBatch:
+        self.trim()
         q, vec, score = self.found
         return to_batch({"query_id": self.ids[q], "vec_id": vec, "score": score}, schema)
 
@@ -261,7 +277,7 @@ def exact(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> Data
             rough = vectors @ x.T
             if len(x) > k + 1:  # one of them may be the query itself
                 rough = np.where(rough >= np.partition(rough, len(x) - k - 1, axis=1)[:, [len(x) - k - 1]] - 1e-9 * np.abs(rough).max(), rough, -np.inf)
-            q, r = np.nonzero(np.isfinite(rough))
+            r, q = np.nonzero(np.isfinite(rough).T)
             best.add(q, r, list(batch.column(0).to_numpy()[:, None]), x)
         yield best.rows(schema)
 
@@ -387,7 +403,7 @@ def met(both: DataFrame, dim: int, k: int) -> DataFrame:
             ends = np.cumsum(n)
             at = 0
             while at < len(owner):
-                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8 * PAIRS, "right")))
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 64 * PAIRS, "right")))
                 while until < len(owner) and owner[until] == owner[until - 1]:
                     until += 1
                 m, start = n[at:until], lo[at:until]
