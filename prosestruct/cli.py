@@ -7,15 +7,16 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from .operators.metrics import section_breakdown
+from .operators.metrics import document_metrics, section_breakdown
 from .plans.engine import Engine
 from .sources.ingest import path_source, raise_error
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="prosestruct", description="Structure of texts.")
+    out.add_argument("--model-dir", help="folder with the English model of the statistical parser; without it the built-in rules parse")
     commands = out.add_subparsers(dest="command", required=True)
     for name, methods, n in (("analyze", None, 0), ("summarize", ("tfidf", "textrank"), 3), ("keyphrases", ("rake", "yake"), 10)):
         command = commands.add_parser(name)
@@ -33,15 +34,33 @@ def shown(value: float | None) -> str:
     return "-" if value is None else f"{value:.3f}"
 
 
+def raise_first(errors: DataFrame) -> None:
+    """The exception of the first error row, by path."""
+    rows = errors.orderBy("path").limit(1).collect()
+    if rows:
+        raise_error(rows[0].error.asDict())
+
+
+def show_document(d: dict, totals: dict) -> None:
+    print(d["path"])
+    for name, value in (("sentences", totals["total_sentences"]), ("words", totals["total_words"])):
+        print(f"  {name}: {value}")
+    print(f"  mean_sentence_length: {totals['mean_sentence_length']:.1f}")
+    print(f"  sentence_length_std: {totals['sentence_length_std']:.1f}")
+    for name in ("vocabulary_ttr", "nominalization_ratio"):
+        print(f"  {name}: {shown(d[name])}")
+    print(f"  passive_ratio: {totals['passive_share']:.3f}")
+
+
 def run(arguments: argparse.Namespace, spark: SparkSession) -> int:
-    engine = Engine()
+    engine = Engine.english(arguments.model_dir) if arguments.model_dir else Engine()
     raw, failures = path_source(spark, arguments.input)
-    for row in failures.collect():
-        raise_error(row.error.asDict())
+    raise_first(failures)
     if arguments.command != "analyze":
-        rows = [r.asDict() for r in getattr(engine, arguments.command)(raw, arguments.method, arguments.n).drop("doc_id").collect()]
-        key = "position" if arguments.command == "summarize" else None
-        rows.sort(key=lambda r: r[key] if key else (-r["score"], r["phrase"]))
+        found, errors = engine.extract(raw, arguments.method, arguments.n)
+        raise_first(errors)
+        rows = [r.asDict() for r in found.drop("doc_id").collect()]
+        rows.sort(key=lambda r: r["position"] if arguments.command == "summarize" else (-r["score"], r["phrase"]))
         if arguments.json:
             print(json.dumps(rows, indent=2, ensure_ascii=False))
         else:
@@ -49,21 +68,19 @@ def run(arguments: argparse.Namespace, spark: SparkSession) -> int:
                 print(f"[{r['score']:.3f}] {r.get('text', r.get('phrase'))}")
         return 0 if rows else 1
     documents, errors = engine.analyze(raw)
-    for row in errors.collect():
-        raise_error(row.error.asDict())
-    found = [r.asDict(recursive=True) for r in documents.collect()]
+    raise_first(errors)
+    found = sorted((r.asDict(recursive=True) for r in documents.collect()), key=lambda d: d["path"])
+    a = engine.annotate(raw)
+    totals = {r.doc_id: r.asDict() for r in document_metrics(a.raw, a.paragraphs, a.sentences).collect()}
     if arguments.json:
         print(json.dumps(found, indent=2, ensure_ascii=False))
     else:
         for d in found:
-            print(d["path"])
-            for name in ("vocabulary_ttr", "nominalization_ratio", "passive_ratio"):
-                print(f"  {name}: {shown(d[name])}")
+            show_document(d, totals[d["doc_id"]])
         if arguments.sections:
-            a = engine.annotate(raw)
             for r in section_breakdown(a.paragraphs, a.sentences).orderBy("doc_id", "section_idx").collect():
                 print(f"  {'#' * r.level} {r.heading}: {r.paragraphs} paragraphs, {r.sentences} sentences, {r.words} words")
-    return 0 if any(d["sections"] for d in found) else 1
+    return 0 if any(t["total_sentences"] for t in totals.values()) else 1
 
 
 def main(argv: list[str] | None = None) -> int:

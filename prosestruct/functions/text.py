@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import STOP_WORDS, sql_list
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -27,10 +34,12 @@ def is_stop_word(word: Column) -> Column:
 
 def syllables(word: Column) -> Column:
     """Syllables by vowel runs: at least one in any word, one in words of three bytes, no silent final e."""
-    own = letters(word)
-    runs = F.regexp_count(F.lower(own), F.lit("[aeiouy]+"))
-    silent = F.lower(own).endswith("e") & (runs > 1)
-    return F.when(own == "", 0).when(F.octet_length(own) <= 3, 1).otherwise(F.greatest(F.lit(1), runs - silent.cast("int")))
+
+    def counted(own: Column) -> Column:
+        runs = lambda low: let(F.regexp_count(low, F.lit("[aeiouy]+")), lambda n: F.greatest(F.lit(1), n - (low.endswith("e") & (n > 1)).cast("int")))
+        return F.when(own == "", 0).when(F.octet_length(own) <= 3, 1).otherwise(let(F.lower(own), runs))
+
+    return let(letters(word), counted)
 
 
 def syllable_sum(words: Column) -> Column:
@@ -39,17 +48,23 @@ def syllable_sum(words: Column) -> Column:
 
 def readability(text: Column) -> Column:
     """School grade from words a sentence and syllables a word; 0.0 without words. Sentences are counted by end marks."""
-    words = pieces(text)
-    n = F.size(words).cast("double")
+    return let(pieces(text), lambda words: grade(F.size(words), syllable_sum(words), text))
+
+
+def grade(words: Column, syllables: Column, text: Column) -> Column:
+    """The grade of a text whose words and syllables are counted already."""
     sentences = F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]"))).cast("double")
-    return F.when(n == 0, 0.0).otherwise(0.39 * (n / sentences) + 11.8 * (syllable_sum(words).cast("double") / n) - 15.59)
+    return F.when(words == 0, 0.0).otherwise(0.39 * (words.cast("double") / sentences) + 11.8 * (syllables.cast("double") / words.cast("double")) - 15.59)
 
 
 def lexical_density(text: Column) -> Column:
     """Share of pieces that are words other than stop words; null without pieces."""
-    words = pieces(text)
-    content = F.filter(words, lambda p: (F.lower(letters(p)) != "") & ~is_stop_word(F.lower(letters(p))))
-    return F.when(F.size(words) > 0, F.size(content).cast("double") / F.size(words))
+
+    def share(words: Column) -> Column:
+        content = F.filter(words, lambda p: let(F.lower(letters(p)), lambda w: (w != "") & ~is_stop_word(w)))
+        return F.when(F.size(words) > 0, F.size(content).cast("double") / F.size(words))
+
+    return let(pieces(text), share)
 
 
 def feat_sql(feats: str, key: str) -> str:

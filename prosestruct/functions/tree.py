@@ -46,12 +46,15 @@ def tree_depth(tokens: str = "tokens") -> Column:
 
     Ways double in length each round, so log2(n) rounds do.
     """
-    ids = f"transform({tokens}, t -> t.id)"
-    first = f"transform({tokens}, t -> named_struct('up', IF(t.head = 0, 0, cast(array_position({ids}, t.head) AS INT)), 'far', IF(t.head = 0, 0L, 1L)))"
+    # Most ids are places; where one isn't, its place is looked up.
+    place = "IF(t.head <= size(ids) AND element_at(ids, t.head) = t.head, t.head, cast(array_position(ids, t.head) AS INT))"
+    first = f"transform({tokens}, t -> named_struct('up', IF(t.head <= 0, IF(t.head = 0, 0, cast(array_position(ids, t.head) AS INT)), {place}), 'far', IF(t.head = 0, 0L, 1L)))"
     step = "transform(s, x -> IF(x.up > 0, named_struct('up', element_at(s, x.up).up, 'far', x.far + element_at(s, x.up).far), x))"
     rounds = f"sequence(1, cast(ceil(log2(size({tokens}) + 1)) AS INT) + 1)"
     last = f"IF(exists(s, x -> x.up > 0), {CYCLE}L, coalesce(array_max(transform(s, x -> x.far)), 0L))"
-    return F.expr(f"aggregate({rounds}, {first}, (s, k) -> {step}, s -> {last})")
+    # A round without anything to do leaves the array as it is.
+    depth = f"aggregate({rounds}, {first}, (s, k) -> IF(exists(s, x -> x.up > 0), {step}, s), s -> {last})"
+    return F.expr(f"element_at(transform(array(transform({tokens}, t -> t.id)), ids -> {depth}), 1)")
 
 
 def subtree(token_id: str, tokens: str = "tokens") -> Column:

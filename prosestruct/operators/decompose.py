@@ -34,7 +34,7 @@ def markdown(raw: DataFrame) -> DataFrame:
     All steps are running counts over a document's lines, which one shuffle by doc_id brings together.
     """
     lines = raw.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", "\r$", "")).withColumn("bare", trim(F.col("line")))
+    lines = lines.withColumn("line", F.regexp_replace("line", r"\r\z", "")).withColumn("bare", trim(F.col("line")))
     doc = W.partitionBy("doc_id")
     so_far = doc.orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     front = F.max(F.expr("n = 0 AND bare = '---'")).over(doc)

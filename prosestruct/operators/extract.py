@@ -1,18 +1,21 @@
 """Extractive summaries and keyphrases: the n best sentences or phrases of each document.
 
 Scores are rounded to 12 places for ranking. Ties go to the earlier sentence, and to the phrase that sorts first: an
-order the definitions leave open. Documents over a limit give no rows here; over_limit() reports them.
+order the definitions leave open. Documents over a limit give no rows here; over_limit() reports them, and the engine's
+extract() returns them as error rows beside the results.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_stop_word
+from ..functions.text import stop_list_sql
 from ..schema import MAX_PHRASE_TOKENS, MAX_RANKED_SENTENCES
 
 LIMITS = {"tfidf": MAX_RANKED_SENTENCES, "textrank": MAX_RANKED_SENTENCES, "rake": MAX_PHRASE_TOKENS, "yake": MAX_PHRASE_TOKENS}
@@ -31,14 +34,18 @@ def over_limit(sentences: DataFrame, method: str, limit: int | None = None) -> D
 
 
 def _within(sentences: DataFrame, method: str) -> DataFrame:
-    over = over_limit(sentences, method).select("doc_id")
-    return sentences.join(over, "doc_id", "left_anti")
+    """Sentences of the documents within a method's limit, with `size`, what the limit counts. Nothing is computed twice."""
+    size = F.sum(F.lit(1) if method in ("tfidf", "textrank") else F.size("tokens")).over(W.partitionBy("doc_id"))
+    return sentences.withColumn("size", size.cast("long")).where(F.col("size") <= LIMITS[method])
+
+
+#: Lemmas of a sentence that are neither signs nor stop words, in their own case.
+TERMS = f"transform(filter(tokens, t -> NOT t.is_punct AND lower(t.lemma) NOT IN {stop_list_sql()}), t -> t.lemma)"
 
 
 def _terms(sentences: DataFrame) -> DataFrame:
-    """doc_id, sent_idx, term, n: lemmas that are neither signs nor stop words, in their own case."""
-    rows = sentences.select("doc_id", "sent_idx", F.explode(F.expr("filter(tokens, t -> NOT t.is_punct)")).alias("t"))
-    rows = rows.select("doc_id", "sent_idx", F.col("t.lemma").alias("term")).where(~is_stop_word(F.lower("term")))
+    """doc_id, sent_idx, term, n: how often each sentence has a term."""
+    rows = sentences.select("doc_id", "sent_idx", F.explode(F.expr(TERMS)).alias("term"))
     return rows.groupBy("doc_id", "sent_idx", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -48,17 +55,18 @@ def _top(scored: DataFrame, n: int, tie: str) -> DataFrame:
 
 
 def tfidf_scores(sentences: DataFrame) -> DataFrame:
-    """doc_id, position, text, score of each sentence: the mean over its distinct terms of tf * ln(N / df) in the document."""
-    own = _within(sentences, "tfidf")
-    terms = _terms(own)
-    df = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    size = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    length = terms.groupBy("doc_id", "sent_idx").agg(F.sum("n").alias("len"))
-    weight = F.col("n") / F.col("len") * F.log(F.col("total") / F.col("df"))
-    scores = terms.join(df, ["doc_id", "term"]).join(size, "doc_id").join(length, ["doc_id", "sent_idx"]).groupBy("doc_id", "sent_idx").agg(F.avg(weight).alias("score"))
-    return own.select("doc_id", "sent_idx", "text").join(scores, ["doc_id", "sent_idx"], "left").select(
-        "doc_id", F.col("sent_idx").alias("position"), "text", F.coalesce("score", F.lit(0.0)).alias("score")
-    )
+    """doc_id, position, text, score of each sentence: the mean over its distinct terms of tf * ln(N / df) in the document.
+
+    Rows are a sentence's terms; windows by document put df beside them, so once documents lie together nothing moves. A
+    sentence's text travels with its first term, and a sentence without terms is a row without one.
+    """
+    own = _within(sentences, "tfidf").select("doc_id", "sent_idx", "text", "size", F.posexplode_outer(F.expr(TERMS)).alias("at", "term"))
+    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    counts = own.groupBy("doc_id", "sent_idx", "term").agg(F.count("term").alias("n"), F.max(F.when(first, F.col("text"))).alias("text"), F.max("size").alias("total"))
+    df = F.count("term").over(W.partitionBy("doc_id", "term"))
+    weights = counts.withColumn("weight", F.when(F.col("term").isNotNull(), F.col("n") * F.log(F.col("total") / F.greatest(df, F.lit(1)))))
+    scores = weights.groupBy("doc_id", "sent_idx").agg(F.max("text").alias("text"), F.try_divide(F.sum("weight"), F.sum("n") * F.count("term")).alias("score"))
+    return scores.select("doc_id", F.col("sent_idx").alias("position"), "text", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def tfidf_summary(sentences: DataFrame, n: int) -> DataFrame:
@@ -77,31 +85,46 @@ def similarity(sentences: DataFrame) -> DataFrame:
     return shared.join(ki, ["doc_id", "i"]).join(kj, ["doc_id", "j"]).select("doc_id", "i", "j", (F.col("shared") / (F.log1p("ki") + F.log1p("kj"))).alias("sim"))
 
 
-def _rank(pages: pd.DataFrame) -> pd.DataFrame:
-    """Power iteration over one document's edges; rows with a null j name its sentences, which the limit bounds."""
-    edges = pages[pages.j.notna()].sort_values(["i", "j"])
-    nodes = np.sort(pages[pages.j.isna()].i.to_numpy())
-    n = len(nodes)
-    i, j, w = np.searchsorted(nodes, edges.i), np.searchsorted(nodes, edges.j.astype("int64")), edges.sim.to_numpy()
-    src, dst, both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w])
-    out = np.bincount(src, both, n)
-    share = both / out[src] if len(src) else both
+def _rank(number: np.ndarray, terms: list[list[str]]) -> np.ndarray:
+    """Ranks of one document's sentences, by power iteration; the limit bounds them, and so the square of similarities."""
+    n = len(number)
+    lists: dict[str, list[tuple[int, int]]] = {}
+    for i, own in enumerate(terms):
+        for term, count in Counter(own).items():
+            lists.setdefault(term, []).append((i, count))
+    shared = np.zeros((n, n))
+    for places in lists.values():
+        if len(places) > 1:
+            at, counts = np.array(places).T
+            shared[at[:, None], at[None, :]] += np.minimum(counts[:, None], counts[None, :])
+    size = np.log1p([len(set(own)) for own in terms])
+    sim = np.divide(shared, size[:, None] + size[None, :], out=shared, where=shared > 0)
+    np.fill_diagonal(sim, 0)
+    out = sim.sum(axis=1)
+    share = np.divide(sim, out[:, None], out=sim, where=out[:, None] > 0).T
     score = np.full(n, 1 / n)
     for _ in range(ROUNDS):
-        new = (1 - DAMPING) / n + DAMPING * np.bincount(dst, share * score[src], n)
+        new = (1 - DAMPING) / n + DAMPING * (share @ score)
         moved = np.abs(new - score).max()
         score = new
         if moved < TOLERANCE:
             break
-    return pd.DataFrame({"doc_id": pages.doc_id.iloc[0], "sent_idx": nodes, "score": score})
+    return score
 
 
 def textrank_scores(sentences: DataFrame) -> DataFrame:
-    """doc_id, position, text, score of each sentence: its rank in the similarity graph of its document."""
-    own = _within(sentences, "textrank")
-    nodes = own.select("doc_id", F.col("sent_idx").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("sim"))
-    ranked = similarity(own).unionByName(nodes).groupBy("doc_id").applyInPandas(_rank, "doc_id long, sent_idx int, score double")
-    return own.select("doc_id", "sent_idx", "text").join(ranked, ["doc_id", "sent_idx"]).select("doc_id", F.col("sent_idx").alias("position"), "text", "score")
+    """doc_id, position, text, score of each sentence: its rank in the similarity graph of its document.
+
+    The graph is made where the document's sentences lie: edges are at most the square of the limit, and are never rows.
+    """
+    own = _within(sentences, "textrank").select("doc_id", "sent_idx", "text", F.expr(TERMS).alias("terms"))
+
+    def rank(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("sent_idx")
+        scores = _rank(rows["sent_idx"].to_numpy(), rows["terms"].to_pylist())
+        return pa.table({"doc_id": rows["doc_id"], "position": rows["sent_idx"], "text": rows["text"], "score": pa.array(scores, pa.float64())})
+
+    return own.groupBy("doc_id").applyInArrow(rank, "doc_id long, position int, text string, score double")
 
 
 def textrank_summary(sentences: DataFrame, n: int) -> DataFrame:
@@ -111,28 +134,19 @@ def textrank_summary(sentences: DataFrame, n: int) -> DataFrame:
 def rake_scores(sentences: DataFrame) -> DataFrame:
     """doc_id, phrase, score: runs of nouns and adjectives, scored by the sum of degree / frequency over their words.
 
-    Runs are gaps and islands: a running count of boundaries numbers them. All of it is local to a sentence, so the runs
-    are found in the sentence's row, by its boundaries' places.
+    Runs are found in the sentence's row: its words in one string, cut at the boundaries. Control characters 1 to 3 mark
+    boundaries, words and runs, so no word holds them. A phrase joined in several ways has the best of their scores.
     """
-    own = _within(sentences, "rake")
-    cut = f"t.is_punct OR {_stop('t.lemma')} OR t.pos NOT IN ('{"', '".join(PHRASE_TAGS)}')"
-    rows = own.select("doc_id", "sent_idx", F.posexplode(F.expr(f"transform(tokens, t -> named_struct('cut', {cut}, 'word', lower(t.lemma)))")).alias("at", "t"))
-    runs = rows.withColumn("run", F.sum(F.col("t.cut").cast("int")).over(W.partitionBy("doc_id", "sent_idx").orderBy("at"))).where("NOT t.cut")
-    phrases = runs.groupBy("doc_id", "sent_idx", "run").agg(F.array_sort(F.collect_list(F.struct("at", "t.word"))).alias("w"))
-    phrases = phrases.select("doc_id", F.transform("w", lambda x: x.word).alias("words"))
-    words = phrases.select("doc_id", F.explode("words").alias("word"), F.size("words").alias("k"))
-    scores = words.groupBy("doc_id", "word").agg((F.sum("k") / F.count(F.lit(1))).alias("s"))
-    listed = phrases.select("doc_id", F.array_join("words", " ").alias("phrase"), "words").groupBy("doc_id", "phrase").agg(F.collect_set("words").alias("forms"))
-    # A phrase may be joined from different words only if a word holds a space; the best form counts.
-    each = listed.select("doc_id", "phrase", F.posexplode("forms").alias("form", "words")).select("doc_id", "phrase", "form", F.explode("words").alias("word"))
-    by_form = each.join(scores, ["doc_id", "word"]).groupBy("doc_id", "phrase", "form").agg(F.sum("s").alias("s"))
-    return by_form.groupBy("doc_id", "phrase").agg(F.max("s").alias("score"))
-
-
-def _stop(word: str) -> str:
-    from ..functions.text import stop_list_sql
-
-    return f"lower({word}) IN {stop_list_sql()}"
+    cut = f"t.is_punct OR lower(t.lemma) IN {stop_list_sql()} OR t.pos NOT IN ('{"', '".join(PHRASE_TAGS)}')"
+    marked = F.expr(f"array_join(transform(tokens, t -> IF({cut}, '\u0001', concat('\u0002', lower(t.lemma)))), '')")
+    runs = F.filter(F.split(marked, "\u0001+"), lambda r: r != "")
+    phrases = _within(sentences, "rake").select("doc_id", "sent_idx", F.posexplode(runs).alias("run", "phrase"))
+    words = F.split(F.expr("substring(phrase, 2)"), "\u0002")
+    each = phrases.select("doc_id", "sent_idx", "run", F.posexplode(words).alias("at", "word"), F.size(words).alias("k"), F.col("phrase"))
+    by_word = W.partitionBy("doc_id", "word")
+    scored = each.withColumn("s", F.sum("k").over(by_word) / F.count(F.lit(1)).over(by_word))
+    by_run = scored.groupBy("doc_id", "sent_idx", "run").agg(F.max(F.when(F.col("at") == 0, F.col("phrase"))).alias("phrase"), F.sum("s").alias("s"))
+    return by_run.groupBy("doc_id", F.translate(F.expr("substring(phrase, 2)"), "\u0002", " ").alias("phrase")).agg(F.max("s").alias("score"))
 
 
 def rake_phrases(sentences: DataFrame, n: int) -> DataFrame:
@@ -140,23 +154,30 @@ def rake_phrases(sentences: DataFrame, n: int) -> DataFrame:
 
 
 def yake_scores(sentences: DataFrame) -> DataFrame:
-    """doc_id, phrase, score: one to three terms in a row, by position, spread of neighbours and frequency; more is better."""
-    own = _within(sentences, "yake")
-    words = own.select("doc_id", "sent_idx", F.posexplode(F.expr("transform(filter(tokens, t -> NOT t.is_punct), t -> lower(t.lemma))")).alias("at", "w"))
-    order = W.partitionBy("doc_id").orderBy("sent_idx", "at")
-    near = W.partitionBy("doc_id", "sent_idx").orderBy("at")
-    words = words.withColumn("position", F.row_number().over(order) - 1).withColumn("before", F.lag("w").over(near)).withColumn("after", F.lead("w").over(near))
-    total = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    terms = words.where(~is_stop_word(F.col("w")) & (F.octet_length("w") > 1))
-    beside = terms.select("doc_id", "w", F.explode(F.array("before", "after")).alias("x")).where(F.col("x").isNotNull() & ~is_stop_word(F.col("x")))
-    spread = beside.groupBy("doc_id", "w", "x").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "w").agg((F.count(F.lit(1)) / F.sum("n")).alias("spread"))
-    facts = terms.groupBy("doc_id", "w").agg(F.avg("position").alias("mean"), F.count(F.lit(1)).alias("tf")).join(total, "doc_id").join(spread, ["doc_id", "w"], "left")
+    """doc_id, phrase, score: one to three terms in a row, by position, spread of neighbours and frequency; more is better.
+
+    Neighbours are found in the sentence's row. What a term has in its document comes from windows by document and term: a
+    row for each of its neighbours, of which one speaks for the term, and the first with a new neighbour counts it.
+    """
+    stop = f"NOT IN {stop_list_sql()}"
+    w = "transform(filter(tokens, t -> NOT t.is_punct), t -> lower(t.lemma))"
+    own = _within(sentences, "yake").select("doc_id", "sent_idx", F.expr(w).alias("w"))
+    before = W.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("start", F.coalesce(F.sum(F.size("w")).over(before), F.lit(0))).withColumn("total", F.sum(F.size("w")).over(W.partitionBy("doc_id")))
+    near = f"filter(array(try_element_at(w, IF(i > 0, i, size(w) + 1)), try_element_at(w, i + 2)), x -> x IS NOT NULL AND x {stop})"
+    terms = f"filter(transform(w, (x, i) -> named_struct('w', x, 'at', i, 'near', {near})), t -> t.w {stop} AND octet_length(t.w) > 1)"
+    rows = own.select("doc_id", "sent_idx", "start", "total", F.explode(F.expr(terms)).alias("t")).select("doc_id", "sent_idx", "start", "total", "t.w", "t.at", F.posexplode_outer("t.near").alias("i", "x"))
+    by_neighbour, by_term = W.partitionBy("doc_id", "w", "x").orderBy("sent_idx", "at", "i"), W.partitionBy("doc_id", "w")
+    rows = rows.withColumn("new", (F.col("x").isNotNull() & (F.row_number().over(by_neighbour) == 1)).cast("int")).withColumn("speaks", F.coalesce(F.col("i") == 0, F.lit(True)))
+    place = F.when(F.col("speaks"), F.col("start") + F.col("at"))
+    spread = F.coalesce(F.sum("new").over(by_term) / F.nullif(F.count("x").over(by_term), F.lit(0)), F.lit(0.0))
     size = F.greatest(F.lit(1), F.col("total"))
-    score = (F.log1p(F.col("mean") / size) + F.coalesce("spread", F.lit(0.0))) / (F.col("tf") / size + 1)
-    scored = terms.join(facts.select("doc_id", "w", score.alias("s")), ["doc_id", "w"])
+    score = (F.log1p(F.avg(place).over(by_term) / size) + spread) / (F.count(place).over(by_term) / size + 1)
+    scored = rows.withColumn("s", score).where("speaks").select("doc_id", "sent_idx", "at", "w", "s")
+    in_order = W.partitionBy("doc_id", "sent_idx").orderBy("at")
     grams = scored
     for k in (1, 2):
-        grams = grams.withColumn(f"w{k}", F.lead("w", k).over(near)).withColumn(f"s{k}", F.lead("s", k).over(near))
+        grams = grams.withColumn(f"w{k}", F.lead("w", k).over(in_order)).withColumn(f"s{k}", F.lead("s", k).over(in_order))
     options = F.array(
         F.struct(F.col("w").alias("phrase"), F.col("s").alias("p")),
         F.struct(F.concat_ws(" ", "w", "w1").alias("phrase"), (F.col("s") * F.col("s1")).alias("p")),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexical_density, readability
 from ..functions.tree import is_passive, word_count
-from ..schema import MAX_COMPRESSED_BYTES, NOMINAL_ENDINGS
+from ..schema import MAX_COMPRESSED_BYTES, NOMINAL_ENDINGS, PASSIVE_DEPS, sql_list
 
 #: A paragraph's metrics need more words than these, counted as tokens of its sentences.
 READABILITY_WORDS, COMPRESSION_WORDS = 10, 50
@@ -63,28 +63,37 @@ def sentence_facts(sentences: DataFrame) -> DataFrame:
 
 
 def document_metrics(raw: DataFrame, paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """A row for each document of raw: totals, sentence lengths, and the three ratios, null where nothing was there to count.
+    """A row for each document of raw: totals, sentence lengths, the three ratios, null where nothing was there to count, and
+    passive_share, the passive ratio with 0.0 for a document without sentences.
 
-    Lemmas are counted by (doc_id, lemma) first, so that a document of any length is aggregated in parts.
+    One pass over the sentences: a row for each of a sentence's lemmas, the first of which carries the sentence's own facts.
+    They are added up by (doc_id, lemma) first, so that a document of any length is aggregated in parts.
     """
-    by_sentence = sentence_facts(sentences).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("total_sentences"), F.sum("words").alias("total_words"), F.avg("words").alias("mean"), F.stddev_samp("words").alias("sd"),
-        F.avg(F.col("is_passive").cast("double")).alias("passive_ratio"),
-    )
-    token = sentences.select("doc_id", F.explode("tokens").alias("t"))
-    nominal = F.lower("t.text").rlike(f"({'|'.join(NOMINAL_ENDINGS)})$") & (F.col("t.pos") == "NOUN")
-    by_lemma = token.groupBy("doc_id", F.when(~F.col("t.is_punct"), F.col("t.lemma")).alias("lemma")).agg(
-        F.sum((~F.col("t.is_punct")).cast("long")).alias("n"), F.sum(nominal.cast("long")).alias("nominal")
+    ending = " OR ".join(f"endswith(low, '{e}')" for e in NOMINAL_ENDINGS)
+    nominal = f"IF(t.pos = 'NOUN', element_at(transform(array(lower(t.text)), low -> cast({ending} AS BIGINT)), 1), 0L)"
+    # What a lambda needs of the whole sentence is computed for the first token only; beside explode it would be for each.
+    words, passive = "cast(size(filter(tokens, x -> NOT x.is_punct)) AS BIGINT)", f"cast(exists(tokens, x -> x.dep IN {sql_list(PASSIVE_DEPS)}) AS BIGINT)"
+    own = f"IF(i = 0, element_at(transform(array({words}), w -> named_struct('n', 1L, 'words', w, 'squares', w * w, 'passive', {passive})), 1), NULL)"
+    facts = f"transform(tokens, (t, i) -> named_struct('lemma', IF(t.is_punct, NULL, t.lemma), 'nominal', {nominal}, 'own', {own}))"
+    none = "array(named_struct('lemma', cast(NULL AS STRING), 'nominal', 0L, 'own', named_struct('n', 1L, 'words', 0L, 'squares', 0L, 'passive', 0L)))"
+    rows = sentences.select("doc_id", F.explode(F.expr(f"IF(size(tokens) > 0, {facts}, {none})")).alias("t"))
+    by_lemma = rows.groupBy("doc_id", "t.lemma").agg(
+        F.count("t.lemma").alias("n"), F.sum("t.nominal").alias("nominal"), F.sum("t.own.n").alias("sentences"), *(F.sum(f"t.own.{c}").alias(c) for c in ("words", "squares", "passive"))
+    )
+    by_document = by_lemma.groupBy("doc_id").agg(
+        F.count("lemma").alias("lemmas"), *(F.sum(c).alias(c) for c in ("n", "nominal", "sentences", "words", "squares", "passive"))
     )
-    by_token = by_lemma.groupBy("doc_id").agg(F.count("lemma").alias("lemmas"), F.sum("n").alias("n"), F.sum("nominal").alias("nominal"))
     by_paragraph = paragraphs.where("para_idx IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraph_count"))
-    out = raw.select("doc_id").join(by_sentence, "doc_id", "left").join(by_token, "doc_id", "left").join(by_paragraph, "doc_id", "left")
-    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    out = raw.select("doc_id").join(by_document, "doc_id", "left").join(by_paragraph, "doc_id", "left")
+    zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
+    count = F.col("sentences").cast("double")
+    # The sums are whole numbers, so the spread is exact up to the last division.
+    spread = F.when(F.col("sentences") > 1, F.sqrt((F.col("sentences") * F.col("squares") - F.col("words") * F.col("words")).cast("double") / (count * (count - 1))))
     return out.select(
-        "doc_id", F.coalesce("paragraph_count", zero).alias("paragraph_count"), F.coalesce("total_sentences", zero).alias("total_sentences"),
-        F.coalesce("total_words", zero).alias("total_words"), F.coalesce("mean", none).alias("mean_sentence_length"), F.coalesce("sd", none).alias("sentence_length_std"),
+        "doc_id", F.coalesce("paragraph_count", zero).alias("paragraph_count"), F.coalesce("sentences", zero).alias("total_sentences"),
+        F.coalesce("words", zero).alias("total_words"), F.coalesce(F.col("words") / count, nothing).alias("mean_sentence_length"), F.coalesce(spread, nothing).alias("sentence_length_std"),
         F.when(F.col("n") > 0, F.col("lemmas") / F.col("n")).alias("vocabulary_ttr"), F.when(F.col("n") > 0, F.col("nominal") / F.col("n")).alias("nominalization_ratio"),
-        "passive_ratio",
+        (F.col("passive") / count).alias("passive_ratio"), F.coalesce(F.col("passive") / count, nothing).alias("passive_share"),
     )
 
 

@@ -58,15 +58,15 @@ def _tokens(source: str = "paragraphs") -> str:
   FROM (SELECT *, regexp_extract_all(text, '{SENTENCE}') AS s FROM {source} WHERE para_idx IS NOT NULL AND NOT in_blockquote)),
 forms AS (SELECT doc_id, section_idx, para_idx, n, unnest(f) AS t, CAST(generate_subscripts(f, 1) AS BIGINT) AS id
   FROM (SELECT *, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\x0b\p{{L}}\p{{N}}]') AS f FROM pieces0)),
-tagged AS (SELECT *, {tag} AS pos, {lemma} AS lemma FROM forms),
+tagged AS MATERIALIZED (SELECT *, {tag} AS pos, {lemma} AS lemma FROM forms),
 looked AS (
   SELECT *, coalesce(min(id) FILTER (WHERE pos = 'VERB') OVER ({here}), min(id) FILTER (WHERE pos = 'AUX') OVER ({here}), min(id) FILTER (WHERE pos = 'NOUN') OVER ({here}), 1) AS root,
     min(id) FILTER (WHERE pos = 'NOUN') OVER ({after}) AS next_noun, min(id) FILTER (WHERE pos = 'VERB') OVER ({after}) AS next_verb,
     lead(pos) OVER ({here} ORDER BY id) AS next_pos,
     dense_rank() OVER (PARTITION BY doc_id ORDER BY para_idx, n) - 1 AS sent_idx
   FROM tagged),
-placed AS (SELECT *, max(id) FILTER (WHERE pos IN ('NOUN', 'PRON') AND id < root) OVER ({here}) AS subject FROM looked),
-tok AS (
+placed AS MATERIALIZED (SELECT *, max(id) FILTER (WHERE pos IN ('NOUN', 'PRON') AND id < root) OVER ({here}) AS subject FROM looked),
+tok AS MATERIALIZED (
   SELECT p.doc_id, p.section_idx, p.para_idx, p.sent_idx, p.id, p.t AS text, p.lemma, p.pos,
     CASE WHEN p.pos = 'VERB' AND lower(p.t) LIKE '%ed' THEN 'Mood=Ind|Tense=Past|VerbForm=Fin' WHEN lower(p.t) IN ('is', 'are', 'was', 'were') THEN 'Mood=Ind|VerbForm=Fin' ELSE '_' END AS feats,
     CASE WHEN p.id = p.root THEN 0 WHEN p.pos IN ('DET', 'ADP', 'CCONJ') THEN coalesce(p.next_noun, p.root) WHEN p.pos = 'AUX' THEN coalesce(p.next_verb, p.root)
@@ -217,7 +217,8 @@ FROM tok t LEFT JOIN tok h ON h.sent = t.sent AND h.id = t.head""",
 pairs AS (SELECT feats, wanted, unnest(string_split(feats, '|')) AS p, generate_subscripts(string_split(feats, '|'), 1) AS n FROM f)
 SELECT f.feats, f.wanted, (SELECT min_by(substr(p, instr(p, '=') + 1), n) FROM pairs WHERE pairs.feats = f.feats AND pairs.wanted = f.wanted AND instr(p, '=') > 0 AND substr(p, 1, instr(p, '=') - 1) = f.wanted) AS value FROM f""",
     "formats": "WITH p(path) AS (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + r""")
-SELECT path, CASE regexp_extract(path, '\.([^./]+)$', 1) WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' ELSE 'plain' END AS format FROM p""",
+SELECT path, CASE WHEN strpos(substr(name, 2), '.') = 0 THEN 'plain' ELSE CASE string_split(name, '.')[-1] WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' ELSE 'plain' END END AS format
+FROM (SELECT path, string_split(path, '/')[-1] AS name FROM p)""",
     "gates": """SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) > 8388608 THEN 'InputTooLarge' WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'UnsupportedFormat' ELSE 'ok' END AS kind,
   CASE WHEN strlen(coalesce(text, '')) > 8388608 THEN 'd' || doc_id || ': input input too large: ' || strlen(text) || ' > limit 8388608' WHEN doc_id % 5 = 0 THEN 'd' || doc_id || ': unsupported format: Pdf' WHEN doc_id % 7 = 0 THEN 'd' || doc_id || ': unsupported format: Docx' END AS message FROM documents""",
     "paragraph_metrics": f"WITH {TOKENS}, {_PARA_WORDS} SELECT doc_id, para_idx, word_count, sentence_count, round(grade, 6) AS readability_grade, round(density, 9) AS lexical_density FROM para",
@@ -256,7 +257,7 @@ r(doc_id, i, score, moved, round) AS (
   SELECT doc_id, dst, new, max(abs(new - old)) OVER (PARTITION BY doc_id), round FROM (
     SELECT r.doc_id, e.dst, (1 - CAST(0.85 AS DOUBLE)) / max(big) + CAST(0.85 AS DOUBLE) * sum(share * r.score) AS new, sum(r.score) FILTER (WHERE e.src = e.dst) AS old, max(r.round) + 1 AS round
     FROM r JOIN edges e ON e.doc_id = r.doc_id AND e.src = r.i WHERE r.moved >= 1e-6 AND r.round < 50 GROUP BY r.doc_id, e.dst))
-SELECT doc_id, CAST(i AS BIGINT) AS position, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY round DESC) AS last FROM r) WHERE last = 1""",
+{_ranked('SELECT doc_id, CAST(i AS BIGINT) AS position, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY round DESC) AS last FROM r) WHERE last = 1', 'position', 6, 'doc_id, position')}""",
     "rake_topk": f"""WITH {TOKENS},
 b AS (SELECT *, lower(lemma) AS w, is_punct OR lower(lemma) IN {_STOP} OR pos NOT IN ('NOUN', 'ADJ', 'PROPN') AS stop FROM tok),
 runs AS (SELECT *, count(*) FILTER (WHERE stop) OVER (PARTITION BY doc_id, sent_idx ORDER BY id) AS run FROM b),

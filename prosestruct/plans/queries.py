@@ -33,6 +33,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For work that a scan of few files would do in few tasks."""
+    rows = documents(spark, sf_dir)
+    return rows if rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else ingest.spread(rows)
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubled = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
     return documents(spark, sf_dir).select("doc_id", F.lit(None).cast("string").alias("path"), doubled.alias("text"), F.lit("plain").alias("format"))
@@ -46,7 +52,7 @@ def raw_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return Engine().parse(raw(spark, sf_dir))
+    return Engine(decomposers={"plain": decompose.plain}).parse(raw(spark, sf_dir))
 
 
 def trees(spark: SparkSession) -> DataFrame:
@@ -58,13 +64,14 @@ def trees(spark: SparkSession) -> DataFrame:
 @query
 def text_readability(spark, sf_dir):
     own = F.coalesce("text", F.lit(""))
-    words = text.pieces(own)
-    return documents(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("words"), text.syllable_sum(words).cast("long").alias("syllables"), F.round(text.readability(own), 6).alias("grade"))
+    counted = text.let(text.pieces(own), lambda w: F.struct(F.size(w).alias("words"), text.syllable_sum(w).alias("syllables")))
+    rows = spread_documents(spark, sf_dir).withColumn("c", counted)
+    return rows.select("doc_id", F.col("c.words").cast("long").alias("words"), F.col("c.syllables").cast("long").alias("syllables"), F.round(text.grade(F.col("c.words"), F.col("c.syllables"), own), 6).alias("grade"))
 
 
 @query
 def text_lexical_density(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.round(text.lexical_density(F.coalesce("text", F.lit(""))), 9).alias("density"))
+    return spread_documents(spark, sf_dir).select("doc_id", F.round(text.lexical_density(F.coalesce("text", F.lit(""))), 9).alias("density"))
 
 
 @query
@@ -222,7 +229,7 @@ def document_metrics(spark, sf_dir):
 
 @query
 def section_breakdown(spark, sf_dir):
-    paragraphs, sentences = Engine().parse(raw_markdown(spark, sf_dir))
+    paragraphs, sentences = Engine(decomposers={"markdown": decompose.markdown}).parse(raw_markdown(spark, sf_dir))
     rows = metrics.section_breakdown(paragraphs, sentences)
     return rows.select("doc_id", F.col("section_idx").cast("long").alias("section_idx"), "heading", F.col("level").cast("long").alias("level"), "paragraphs", "sentences", "words")
 
@@ -248,7 +255,7 @@ def tfidf_topk(spark, sf_dir):
 
 @query
 def textrank_topk(spark, sf_dir):
-    rows = extract.textrank_scores(parsed(spark, sf_dir)[1])
+    rows = extract.textrank_summary(parsed(spark, sf_dir)[1], TOP)
     return rows.select("doc_id", F.col("position").cast("long").alias("position"), F.round("score", 6).alias("score"))
 
 
@@ -267,7 +274,7 @@ def yake_topk(spark, sf_dir):
 def conversation_sentences(spark, sf_dir):
     """The same provider on another table: sentences and words of each role."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.expr("conv_id * 1000 + turn").alias("doc_id"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    sentences = providers.rules(decompose.plain(turns))
+    sentences = providers.rules(decompose.plain(ingest.spread(turns)))
     return turns.select("doc_id", "role").join(metrics.sentence_facts(sentences), "doc_id").groupBy("role").agg(F.count(F.lit(1)).alias("sentences"), F.sum("words").alias("words"))
 
 

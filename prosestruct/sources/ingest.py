@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import stat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DOCUMENT_WIRE, ERROR, MAX_INPUT_BYTES, RAW
 
-#: Extension to format, case-sensitive; anything else is plain text.
+#: Extension to format, case-sensitive; anything else is plain text. A name's leading dot starts no extension.
 FORMATS = {"md": "markdown", "markdown": "markdown", "pdf": "pdf", "docx": "docx"}
 SHOWN = {"markdown": "Markdown", "plain": "PlainText", "pdf": "Pdf", "docx": "Docx"}
 PYTHON_ERRORS = {
@@ -24,7 +25,7 @@ def text_source(spark: SparkSession, text: str, format: str = "plain") -> DataFr
 
 
 def detect_format(path: Column) -> Column:
-    extension = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    extension = F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
     out = F.lit("plain")
     for name, format in FORMATS.items():
         out = F.when(extension == name, format).otherwise(out)
@@ -41,11 +42,30 @@ def too_large(what: str, actual: Column, limit: int) -> Column:
     return error("InputTooLarge", message, F.lit(what), F.lit(limit), actual)
 
 
+def spread(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows by the hash of their document, in as many partitions as the session shuffles into.
+
+    Texts move once, before anything is derived from them; whatever works by document reuses that partitioning.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def accepts(path: str) -> bool:
+    """Whether the file source takes a path: a file, also by way of a link, which reading then refuses."""
+    return os.path.isfile(path)
+
+
+def candidate_paths(folder: str) -> list[str]:
+    """A folder's own regular files, sorted by the bytes of their paths; links and anything else are left out."""
+    with os.scandir(folder) as entries:
+        return sorted((e.path for e in entries if e.is_file(follow_symlinks=False)), key=os.fsencode)
+
+
 def path_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, errors) of a file, or of a folder's own files in the order of their paths.
+    """(documents, errors) of a file, or of a folder's own files; ordered by path where they are collected, not before.
 
-    A missing path raises. Sizes are checked on the listing, so a file over the limit is never read. Links in a local
-    folder are skipped; a link given as the path itself is an error.
+    A missing path raises. Sizes are checked on the listing, so a file over the limit is never read. In a local folder links
+    and all that is no regular file are skipped; given as the path itself they are errors.
     """
     local = path.removeprefix("file:")
     folder = os.path.isdir(local)
@@ -53,14 +73,17 @@ def path_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise FileNotFoundError(f"io error: {path}")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     if folder:
-        # The listing holds one name a file of one folder; only links' names are kept.
-        links = sorted(e.name for e in os.scandir(local) if e.is_symlink())
+        # The listing holds one name a file of one folder; only names of what isn't a regular file are kept.
+        with os.scandir(local) as entries:
+            others = sorted(e.name for e in entries if not e.is_file(follow_symlinks=False))
         files = reader.load(path)
-        if links:
-            files = files.where(~F.regexp_extract("path", "([^/]+)$", 1).isin(links))
+        if others:
+            files = files.where(~F.regexp_extract("path", "([^/]+)$", 1).isin(others))
     else:
         if os.path.islink(local):
             raise OSError(f"io error: {path}: a symbolic link")
+        if os.path.exists(local) and not stat.S_ISREG(os.lstat(local).st_mode):
+            raise OSError(f"io error: {path}: not a regular file")
         files = reader.load(path)
     named = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     large = named.where(F.col("length") > MAX_INPUT_BYTES).select("path", too_large("file_source", F.col("length"), MAX_INPUT_BYTES).alias("error"))

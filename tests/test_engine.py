@@ -1,6 +1,8 @@
 """Functions, detections, gates and laws on small cases of their own."""
 
+import hashlib
 import json
+import os
 import re
 
 import pytest
@@ -12,8 +14,8 @@ from prosestruct.operators import decompose, extract, metrics
 from prosestruct.operators.detect import detect
 from prosestruct.plans.engine import Engine
 from prosestruct.plans.queries import trees
-from prosestruct.schema import CYCLE, RAW, STOP_WORDS
-from prosestruct.sources import ingest, providers
+from prosestruct.schema import CYCLE, MAX_INPUT_BYTES, RAW, STOP_WORDS
+from prosestruct.sources import ingest, models, providers
 
 
 def raw(spark, *texts, format="plain"):
@@ -175,6 +177,125 @@ def test_long_sentences_are_not_cut(spark):
     texts = ["They claimed " + " ".join(words), "no marks here " * 40 + "may end. Next one?! Last", "y" * 1300]
     raw = spark.createDataFrame([(i, None, t, "plain") for i, t in enumerate(texts)], "doc_id long, path string, text string, format string")
     rows = Engine().parse(raw)[1].orderBy("doc_id", "sent_idx").collect()
-    assert [(r.doc_id, r.text) for r in rows] == [(i, s.strip()) for i, t in enumerate(texts) for s in re.findall(r"[^.!?]+[.!?]*", t)]
+    assert [(r.doc_id, r.text) for r in rows] == [(i, s.strip()) for i, t in enumerate(texts) for s in re.findall(providers.SENTENCE, t)]
     assert [t.text for t in rows[0].tokens] == ["They", "claimed", *words] and [t.head for t in rows[0].tokens].count(0) == 1
     assert [t.text for t in rows[-1].tokens] == ["y" * 1300]
+
+
+def test_end_marks_are_kept(spark):
+    rows = Engine().parse(raw(spark, "...Hello there. ?!", "!!!", " . "))[1].orderBy("doc_id", "sent_idx").collect()
+    assert [(r.doc_id, r.text, [t.text for t in r.tokens]) for r in rows] == [
+        (0, "...", ["."] * 3), (0, "Hello there.", ["Hello", "there", "."]), (0, "?!", ["?", "!"]), (1, "!!!", ["!"] * 3), (2, ".", ["."]),
+    ]
+    assert [t.head for t in rows[3].tokens] == [0, 1, 1]
+
+
+def test_carriage_returns(spark):
+    rows = decompose.markdown(raw(spark, "one\r\ntwo\r\r\nthree\r", format="markdown")).collect()
+    assert [r.text for r in rows] == ["one\ntwo\r\nthree"]
+
+
+BLOCK = "1\tShe\tshe\tPRON\t_\t_\t2\tnsubj\t_\t_\n2\tran\trun\tVERB\t_\t_\t0\troot\t_\t_"
+
+
+def test_parse_failures_are_error_rows(spark):
+    """One bad line fails its document, with its message, and leaves the others alone."""
+    engine = Engine(provider=providers.conllu)
+    rows = raw(spark, BLOCK, BLOCK + "\n3\tbroken", BLOCK.replace("\t2\tnsubj", "\t-1\tnsubj"), "")
+    documents, errors = engine.analyze(rows)
+    assert sorted(r.doc_id for r in documents.collect()) == [0, 3]
+    shown = {r.doc_id: (r.error.kind, r.error.message) for r in errors.collect()}
+    assert set(shown) == {1, 2} and shown[1] == ("ParseFailed", "parse failed: bad line: 3\tbroken") and shown[2][1].startswith("parse failed: bad line: 1\tShe")
+    assert providers.conllu(engine.parse(rows.where("doc_id = 1"))[0]).count() == 0
+    with pytest.raises(RuntimeError):
+        engine.extract_one(spark, "1\tbroken")
+
+
+def test_what_a_parser_raises_is_its_documents_failure(spark):
+    def make():
+        def parse(text):
+            if "boom" in text:
+                raise ValueError("no parse\nhere")
+            return "\n".join(f"{i}\t{w}\t{w}\tNOUN\t_\t_\t0\troot\t_\t_" for i, w in enumerate(text.split(), 1))
+
+        return parse
+
+    documents, errors = Engine(provider=providers.guarded(make), suite=()).analyze(raw(spark, "a b", "fine\n\nboom", "c"))
+    assert sorted(r.doc_id for r in documents.collect()) == [0, 2]
+    assert [(r.doc_id, r.error.message) for r in errors.collect()] == [(1, "parse failed: bad line: parser raised: ValueError: no parse here")]
+
+
+def test_extract_returns_results_and_errors(spark, monkeypatch):
+    monkeypatch.setitem(extract.LIMITS, "tfidf", 4)
+    rows = raw(spark, "a b. " * 5, "Two words. More here.").unionByName(raw(spark, "x", format="pdf").withColumn("doc_id", F.lit(9).cast("long")))
+    found, errors = Engine().extract(rows, "tfidf", 1)
+    assert {r.doc_id for r in found.collect()} == {1}
+    assert {r.doc_id: r.error.message for r in errors.collect()} == {0: "tfidf input too large: 5 > limit 4", 9: "unsupported format: Pdf"}
+    assert Engine().extract(rows.where("doc_id = 0"), "tfidf", 0)[1].count() == 0
+    with pytest.raises(ValueError):
+        Engine().extract_one(spark, "a b. " * 5)
+    # Always plain: a heading is prose here.
+    assert [r["text"] for r in Engine().extract_one(spark, "# Rivers rose. Towns flooded.", "textrank", 2)] == ["# Rivers rose.", "Towns flooded."]
+
+
+def test_command_line_errors(spark, tmp_path, capsys, monkeypatch):
+    run = lambda *a: cli.run(cli.parser().parse_args([str(x) for x in a]), spark)
+    (tmp_path / "a.pdf").write_text("text")
+    (tmp_path / "b.txt").write_text("One. " * 6)
+    monkeypatch.setitem(extract.LIMITS, "textrank", 5)
+    for arguments in (("summarize", tmp_path / "a.pdf"), ("keyphrases", tmp_path / "a.pdf"), ("summarize", tmp_path / "b.txt", "--method", "textrank")):
+        with pytest.raises(ValueError):
+            run(*arguments)
+    (tmp_path / "big.txt").write_bytes(b"x" * (MAX_INPUT_BYTES + 1))
+    with pytest.raises(ValueError):
+        run("analyze", tmp_path / "big.txt")
+    assert run("analyze", tmp_path / "b.txt") == 0
+    shown = capsys.readouterr().out
+    assert "sentences: 6" in shown and "words: 6" in shown and "mean_sentence_length: 1.0" in shown and "passive_ratio: 0.000" in shown
+    with pytest.raises(FileNotFoundError):
+        run("--model-dir", tmp_path / "none", "analyze", tmp_path / "b.txt")
+
+
+def test_files_and_listing(spark, tmp_path):
+    for name in ("b.txt", "a.md", ".md", "C.MD"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "l.txt").symlink_to(tmp_path / "b.txt")
+    os.mkfifo(tmp_path / "pipe")
+    assert [os.path.basename(p) for p in ingest.candidate_paths(str(tmp_path))] == [".md", "C.MD", "a.md", "b.txt"]
+    assert ingest.accepts(str(tmp_path / "b.txt")) and not ingest.accepts(str(tmp_path / "sub")) and not ingest.accepts(str(tmp_path / "pipe"))
+    rows = spark.createDataFrame([(n,) for n in (".md", "x/.md", "a.md", "..md", "C.MD", "a.", "d.md/e")], "p string").select("p", ingest.detect_format(F.col("p")).alias("f")).collect()
+    assert {r.p: r.f for r in rows} == {".md": "plain", "x/.md": "plain", "a.md": "markdown", "..md": "markdown", "C.MD": "plain", "a.": "plain", "d.md/e": "plain"}
+    for name in ("l.txt", "pipe"):
+        with pytest.raises(OSError):
+            ingest.path_source(spark, str(tmp_path / name))
+
+
+def test_models_are_checked(tmp_path):
+    data = b"model bytes"
+    model = models.Model("m.bin", len(data), hashlib.sha256(data).hexdigest())
+    folder, calls = str(tmp_path / "models"), []
+
+    def fetch(path, content=data):
+        calls.append(path)
+        with open(path, "wb") as file:
+            file.write(content)
+
+    with pytest.raises(FileNotFoundError):
+        models.load(folder, model)
+    assert models.load(folder, model, fetch) == data and models.load(folder, model) == data and len(calls) == 1
+    with open(os.path.join(folder, "m.bin"), "wb") as file:
+        file.write(b"model bytez")
+    with pytest.raises(models.ModelInvalid):
+        models.load(folder, model)
+    assert models.load(folder, model, fetch) == data and len(calls) == 2 and os.listdir(folder) == ["m.bin"]
+    os.remove(os.path.join(folder, "m.bin"))
+    with pytest.raises(models.ModelInvalid):
+        models.load(folder, model, lambda path: fetch(path, b"wrong"))
+
+
+def test_passive_share_is_zero_without_sentences(spark):
+    rows = raw(spark, "", "The box was opened. It fell.")
+    a = Engine().annotate(rows)
+    found = {r.doc_id: (r.passive_ratio, r.passive_share) for r in metrics.document_metrics(a.raw, a.paragraphs, a.sentences).collect()}
+    assert found == {0: (None, 0.0), 1: (0.5, 0.5)}
