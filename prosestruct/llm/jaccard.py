@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by vertical partitioning.
+"""N-gram Jaccard join by vertical partitioning, after a prefix filter.
 
 A document's set holds its distinct n-word shingles as 64-bit hashes. The global order of n-grams puts rare ones first:
 by how often batches of documents were seen to share them, then by hash. Counts of the MAX_FREQUENT most shared ones are
@@ -6,16 +6,18 @@ enough, since any fixed order gives right results; the counts only keep common p
 
 1. Candidates. Sets r, s with similarity of at least t = num / den share one of the first |r| - ceil(t * |r|) + 1
    shingles of each (prefix filter), and the smaller has at least t times the size of the larger (length filter). Sets
-   with a common prefix shingle are put in order of size. Each is paired with those of the NEAR before it that its size
-   allows; where more would be allowed, the whole run of sizes without a gap is hot and is tied together instead.
-2. Overlap bounds. Each set has a sketch: the order is cut into 2^k fragments, two to four of its shingles in each, and
-   the shingles are counted by fragment. Overlap in a fragment is at most the smaller count; summed over fragments, that
-   drops pairs without losing one that links. Hot runs go through it in blocks of HOT_BLOCK sets, two blocks a task, which
-   return a spanning forest of what passes: no pair of a hot run is ever a row.
-3. Partial overlaps. Connected components of the pairs that pass hold all links. Their sets are cut into blocks of bounded
-   weight. A task takes two blocks and goes through the n-gram order fragment by fragment, vertically: it counts each
-   pair's overlap in a fragment from the fragment's inverted lists and adds it to the pair's sum. Sums meet the exact
-   integer condition or not. A task returns a spanning forest of its links: n near copies cost about n rows, not n * n.
+   with a common prefix shingle are put in order of size. Each is paired with the NEAR before it that its size allows; where
+   more would be allowed, the run of sizes without a gap is hot: its members are paired with NEAR_HOT before them and tied
+   together as a group. The lists of shingles that very many sets share are split by salts, whose members are tied likewise.
+   A sketch of each set, its shingles counted by hash range, bounds the overlap and drops pairs that can't link.
+2. Vertical partial overlaps. The global order of n-grams is cut into FRAGMENTS fragments and each set in question into its
+   segments. A pair meets, fragment by fragment, as a row of two segments, which counts the overlap in that fragment alone;
+   the counts are summed per pair, and the sum meets the exact integer condition or not. So no task holds whole sets.
+3. Rounds. Links give classes, as connected components. What the first round left out are pairs of a hot group, of which
+   only those between different classes matter. Groups of one class are done: near copies, however many, cost a few pairs
+   each. Of the others, members outside the largest class meet all members, in blocks of HOT_BLOCK, by their sketches, and
+   what passes is counted vertically like the first pairs. A block hands on a bounded number of pairs a round, ever more,
+   until none is left or the classes have become one. No pair within a class is ever a row.
 4. Documents with equal sets are one vertex all along. Components of the links, least doc_id first, are the result.
 
 Words are maximal runs of characters other than ASCII white space after A-Z are lower-cased; with fewer words than n
@@ -28,7 +30,10 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,12 +45,14 @@ from .components import connected_components
 
 #: Shared shingles whose counts order the rest, 16 bytes each, and the documents of a batch that make one shared.
 MAX_FREQUENT, SHARED = 250_000, 3
-#: Shingles in a block of a group, and the rows of the group table that are broadcast at most (24 bytes each).
-BLOCK, MAX_BROADCAST = 16_000, 1_000_000
-#: Sets before a set in a prefix list that it is paired with, and sets in a block of a hot run.
-NEAR, HOT_BLOCK = 7, 512
-#: Fragments of the order in which partial overlaps are counted.
-PARTIAL = 16
+#: Rows of the table of sets in question that are broadcast at most (24 bytes each).
+MAX_BROADCAST = 1_000_000
+#: Sets before a set in a prefix list that it is paired with, in a hot run and elsewhere, and sets in a block of a group.
+NEAR, NEAR_HOT, HOT_BLOCK = 7, 2, 512
+#: Sets in a prefix list from which it is split by salts, as far as the global order knows.
+HOT_LIST = 2048
+#: Fragments of the order, and pairs that a block hands on in the first round; each later round has ROUND times as many.
+FRAGMENTS, HANDED, ROUND = 8, 4096, 16
 MAX_WORDS = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -89,15 +96,36 @@ class Order:
     shared: np.ndarray
     counts: np.ndarray
 
+    def count(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shared):
+            return np.zeros(len(shingles), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+        return np.where(self.shared[at] == shingles, self.counts[at], 0)
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the fragments of the order's two halves begin: by hash among the unshared, by (count, hash) among the shared."""
+        half = FRAGMENTS // 2
+        hashes = np.array([(i << 64) // half for i in range(1, half)], dtype=np.uint64)
+        order = np.lexsort((self.shared, self.counts))
+        places = [len(order) * i // half for i in range(1, half)]
+        return hashes, order[places] if len(order) else np.zeros(0, np.int64)
+
+    def segments(self, shingles: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(fragment, shingles in it) of a set given by hash, for the fragments that hold any."""
+        half = FRAGMENTS // 2
+        counts = self.count(shingles)
+        hashes, places = self.cuts()
+        fragment = np.searchsorted(hashes, shingles, "right")
+        if len(places):
+            passed = sum(((counts > self.counts[at]) | ((counts == self.counts[at]) & (shingles >= self.shared[at]))).astype(np.int64) for at in places)
+            fragment = np.where(counts > 0, half + passed, fragment)
+        return [(int(f), shingles[fragment == f]) for f in np.unique(fragment)]
+
     def prefix(self, shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         """The shingles of a set, given by hash, of which two sets that link have one in common."""
         size = len(shingles) + (-num * len(shingles)) // den + 1
-        if len(self.shared):
-            at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
-            counts = np.where(self.shared[at] == shingles, self.counts[at], 0)
-            if counts.any():
-                return shingles[np.argsort(counts, kind="stable")[:size]]
-        return shingles[:size]
+        counts = self.count(shingles)
+        return shingles[np.argsort(counts, kind="stable")[:size]] if counts.any() else shingles[:size]
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -164,45 +192,51 @@ def global_order(sets: DataFrame) -> Order:
 
 
 def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, ties) of set ids (a, b): pairs to test one by one, and ties that hold hot runs together."""
+    """(pairs, ties) of set ids (a, b): pairs to test, and ties that hold hot runs and split lists together as groups."""
     held = documents.sparkSession.sparkContext.broadcast(order)
 
     def make():
         shingles, seen, by = Shingler(n), set(), held.value
 
         def work(batch):
-            keys, ids, sizes = [], [], []
+            keys, ids, sizes, salts = [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text)
                 if not len(own):
                     continue
                 whole = digest(own)
-                if whole in seen:  # copies within a task are tied once
+                if whole in seen:  # copies within a task are listed once
                     continue
                 if len(seen) < MAX_WORDS:
                     seen.add(whole)
                 found = by.prefix(own, num, den)
+                parts = 1 + by.count(found) // HOT_LIST
                 keys.append(found)
                 ids.append(np.full(len(found), set_id(whole), dtype=np.int64))
                 sizes.append(np.full(len(found), len(own), dtype=np.int32))
+                salts.append(np.where(parts > 1, set_id(whole) % parts, -1).astype(np.int32))
             if not keys:
-                return {"key": [], "a": [], "size": []}
-            return {"key": pa.array(np.concatenate(keys).view(np.int64)), "a": pa.array(np.concatenate(ids)), "size": pa.array(np.concatenate(sizes))}
+                return {"key": [], "salt": [], "a": [], "size": []}
+            return {"key": pa.array(np.concatenate(keys).view(np.int64)), "salt": np.concatenate(salts), "a": np.concatenate(ids), "size": np.concatenate(sizes)}
 
         return work
 
-    rows = arrow_map(documents.select("text"), make, "key long, a long, size int")
-    by_size = W.partitionBy("key").orderBy("size", "a")
+    rows = arrow_map(documents.select("text"), make, "key long, salt int, a long, size int")
+    by_size, size = W.partitionBy("key", "salt").orderBy("size", "a"), F.col("size")
     fits = lambda less, more: F.coalesce(less * den >= more * num, F.lit(False))
-    size = F.col("size")
-    around = rows.withColumn("joined", fits(F.lag("size").over(by_size), size)).withColumn("joins", fits(size, F.lead("size").over(by_size)))
-    held_keys = around.withColumn("far", fits(F.lag("size", NEAR + 1).over(by_size), size)).where("joined OR joins")
+    once = rows.withColumn("copy", F.coalesce(F.lag("a").over(by_size) == F.col("a"), F.lit(False))).where("NOT copy")
+    around = once.withColumn("joined", fits(F.lag("size").over(by_size), size)).withColumn("joins", fits(size, F.lead("size").over(by_size)))
+    held_keys = around.withColumn("far", fits(F.lag("size", NEAR + 1).over(by_size), size)).where("joined OR joins OR salt >= 0")
     runs = held_keys.withColumn("first", F.last(F.when(~F.col("joined"), F.col("a")), ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.withColumn("before", F.collect_list(F.struct("a", "size")).over(by_size.rowsBetween(-NEAR, -1)))
-    kept = checkpointed(runs.withColumn("hot", F.max("far").over(W.partitionBy("key", "first"))).select("a", "size", "first", "before", "hot"))
-    both = kept.where("NOT hot").select("a", "size", F.explode("before").alias("x")).where(fits(F.col("x.size"), size) & (F.col("a") != F.col("x.a")))
+    hot = F.max("far").over(W.partitionBy("key", "salt", "first")) | (F.col("salt") >= 0)
+    kept = checkpointed(runs.withColumn("hot", hot).select("key", "salt", "a", "size", "first", "before", "hot"))
+    near = F.when(F.col("hot"), F.slice("before", F.greatest(F.size("before") - (NEAR_HOT - 1), F.lit(1)), NEAR_HOT)).otherwise(F.col("before"))
+    both = kept.select("a", "size", F.explode(near).alias("x")).where(fits(F.col("x.size"), size) & (F.col("a") != F.col("x.a")))
     pairs = both.select(F.least("a", "x.a").alias("a"), F.greatest("a", "x.a").alias("b")).distinct()
-    ties = kept.where("hot AND a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b")).distinct()
+    # A split list is tied to a vertex of its own; runs of whole lists to their first set.
+    top = F.when(F.col("salt") >= 0, F.xxhash64("key")).otherwise(F.col("first"))
+    ties = kept.where("hot").select("a", top.alias("top")).where("a <> top").select(F.least("a", "top").alias("a"), F.greatest("a", "top").alias("b")).distinct()
     return pairs, ties
 
 
@@ -230,9 +264,10 @@ class Folded:
         return self.levels[width]
 
 
-def passing_in_blocks(sketches: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sketches leave room for a link, as places."""
-    trees, folded, found = Forest(), Folded(sketches, right), []
+def passing_in_blocks(sketches: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """The pairs of places from left and right, of different labels, whose sizes and sketches leave room for a link; of a
+    block with itself, each pair once."""
+    folded, same = Folded(sketches, right), len(left) == len(right) and (left == right).all()
     blind = np.array([j for j in right if not len(sketches[j])], dtype=np.int64)
     for i in left:
         x, hits = sketches[i], [blind]
@@ -240,147 +275,141 @@ def passing_in_blocks(sketches: list[np.ndarray], sizes: np.ndarray, left: np.nd
             hits = [right]
         else:
             for members, m, fold in folded.at(len(x)):
-                ok = (den * np.minimum(sizes[members], sizes[i])) >= num * np.maximum(sizes[members], sizes[i])
+                ok = labels[members] != labels[i]
                 if not ok.any():
                     continue
                 own = x.reshape(m.shape[1], -1).sum(axis=1) if fold else x
                 most = np.minimum(m[ok], own).sum(axis=1, dtype=np.int64)
                 hits.append(members[ok][den * most >= num * (sizes[members[ok]] + sizes[i] - most)])
-        found += [(int(i), int(j)) for j in np.concatenate(hits) if j != i and trees.join(int(i), int(j))]
-    return found
-
-
-class Forest:
-    """Union-find over small integers."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while self.parent.get(x, x) != x:
-            self.parent[x] = x = self.parent.get(self.parent[x], self.parent[x])
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        """Whether they were apart."""
-        a, b = self.root(a), self.root(b)
-        self.parent[a] = b
-        return a != b
-
-
-def links_in_blocks(sets: list[np.ndarray], ids: list[int], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members `left` and `right` (places in sets), by partial overlaps."""
-    trees = Forest()
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    width = len(right)
-    column = np.full(len(sets), -1, dtype=np.int64)
-    column[right] = np.arange(width)
-    shingles = np.concatenate([sets[i] for i in right]) if width else np.zeros(0, np.uint64)
-    owners = np.repeat(np.arange(width), sizes[right])
-    order = np.argsort(shingles, kind="stable")
-    shingles, owners = shingles[order], owners[order]
-    cuts = [int(i * (1 << 64) // PARTIAL) for i in range(1, PARTIAL)]
-    edges = np.searchsorted(shingles, np.array(cuts, dtype=np.uint64))
-    edges = np.concatenate([[0], edges, [len(shingles)]])
-    found = []
-    for i in left:
-        own = sets[i]
-        bounds = np.concatenate([[0], np.searchsorted(own, np.array(cuts, dtype=np.uint64)), [len(own)]])
-        total = np.zeros(width, dtype=np.int64)
-        for f in range(PARTIAL):
-            part = own[bounds[f] : bounds[f + 1]]
-            lists = shingles[edges[f] : edges[f + 1]]
-            lo, hi = np.searchsorted(lists, part, "left"), np.searchsorted(lists, part, "right")
-            n = hi - lo
-            if not n.any():
-                continue
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            total += np.bincount(owners[edges[f] + at], minlength=width)
-        union = sizes[i] + sizes[right] - total
-        for j in np.flatnonzero((total > 0) & (den * total >= num * union)):
-            other = int(right[j])
-            if trees.join(int(i), other):
-                found.append((ids[i], ids[other]))
-    return found
-
-
-def deal(rows: DataFrame) -> DataFrame:
-    """Rows with group, mine (their block) and blocks, once for each pair (i, j) of blocks of the group that has theirs."""
-    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-
-
-def passing_pairs(documents: DataFrame, order: Order, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between doc_ids whose components hold all links; reps has doc_id, set_id, n_shingles, sketch of each set."""
-    pairs, ties = candidates(documents, order, n, num, den)
-    schema = arrow_schema(documents, "a long, b long")
-    sets = [reps.select(*(F.col(c).alias(f"{c}_{side}") for c in reps.columns)) for side in "ab"]
-    each = pairs.join(sets[0], F.col("a") == F.col("set_id_a")).join(sets[1], F.col("b") == F.col("set_id_b"))
+        for j in np.concatenate(hits):
+            fits = den * min(sizes[i], sizes[j]) >= num * max(sizes[i], sizes[j])
+            if fits and labels[i] != labels[j] and (not same or i < j):
+                yield int(i), int(j)
 
-    def make():
-        def work(batch):
-            rows = zip(*(batch[c].to_pylist() for c in ("doc_id_a", "doc_id_b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b")), strict=True)
-            kept = [(a, b) for a, b, na, nb, x, y in rows if may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), na, nb, num, den)]
-            return {"a": [x[0] for x in kept], "b": [x[1] for x in kept]}
 
-        return work
+def handed(number: int) -> tuple[int, int]:
+    """Which of a block's pairs it hands on in a round: from, up to."""
+    start = HANDED * (ROUND**number - 1) // (ROUND - 1)
+    return start, start + HANDED * ROUND**number
 
-    tested = arrow_map(each.select("doc_id_a", "doc_id_b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b"), make, "a long, b long")
-    groups = connected_components(ties).withColumnRenamed("vertex", "set_id").withColumnRenamed("component", "group")
-    members = checkpointed(reps.join(groups, "set_id"))
-    counts = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("blocks"))
-    placed = members.join(counts, "group").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
 
-    def verify(table: pa.Table) -> pa.Table:
-        ids, place = table["doc_id"].to_pylist(), table["mine"].to_numpy()
+def cross_pairs(members: DataFrame, labels: DataFrame, number: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of set ids of a group, from different classes, that a round tests; a null pair says that more are left.
+
+    members has set_id, n_shingles, sketch and group; labels has vertex and component, for sets in a class with others.
+    """
+    own = members.join(labels, F.col("set_id") == F.col("vertex"), "left").select("set_id", "n_shingles", "sketch", "group", F.coalesce("component", "set_id").alias("label"))
+    classes = own.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = classes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.max("n").alias("most"), F.sum("n").alias("total")).where("most < total")
+    placed = own.join(groups, "group").withColumn("bigs", F.ceil(F.col("most") / HOT_BLOCK).cast("int")).withColumn("others", F.ceil((F.col("total") - F.col("most")) / HOT_BLOCK).cast("int"))
+    is_big, place = F.col("label") == F.col("big"), F.xxhash64("set_id")
+    placed = placed.withColumn("mine", F.when(is_big, F.pmod(place, F.col("bigs"))).otherwise(F.col("bigs") + F.pmod(place, F.col("others"))).cast("int"))
+    # Members of the largest class meet the others' blocks only.
+    meets = F.sequence(F.when(is_big, F.col("bigs")).otherwise(F.lit(0)), F.col("bigs") + F.col("others") - 1)
+    dealt = placed.withColumn("other", F.explode(meets)).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    schema = arrow_schema(members, "a long, b long")
+    start, end = handed(number)
+
+    def test(table: pa.Table) -> pa.Table:
+        table = table.sort_by("set_id")
+        ids, place, labels = table["set_id"].to_numpy(), table["mine"].to_numpy(), table["label"].to_numpy()
         sketches = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
         left, right = np.flatnonzero(place == table["i"][0].as_py()), np.flatnonzero(place == table["j"][0].as_py())
-        found = passing_in_blocks(sketches, table["n_shingles"].to_numpy(), left, right, num, den)
-        return pa.Table.from_batches([to_batch({"a": [ids[x] for x, _ in found], "b": [ids[x] for _, x in found]}, schema)])
+        found = list(islice(passing_in_blocks(sketches, table["n_shingles"].to_numpy(), labels, left, right, num, den), start, end + 1))
+        a, b = [int(min(ids[x], ids[y])) for x, y in found[: end - start]], [int(max(ids[x], ids[y])) for x, y in found[: end - start]]
+        more = [None] * (len(found) > end - start)
+        return pa.Table.from_batches([to_batch({"a": a + more, "b": b + more}, schema)])
 
-    hot = deal(placed.select("doc_id", "n_shingles", "sketch", "group", "mine", "blocks")).groupBy("group", "i", "j").applyInArrow(verify, "a long, b long")
-    return tested.unionByName(hot).where("a <> b")
+    columns = ("set_id", "n_shingles", "sketch", "label", "group", "mine", "i", "j")
+    return dealt.select(*columns).groupBy("group", "i", "j").applyInArrow(test, "a long, b long")
 
 
-def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between doc_ids; reps has doc_id, set_id, n_shingles and sketch, one row for each distinct set."""
-    passing = passing_pairs(documents, order, reps, n, num, den)
-    groups = connected_components(passing).withColumnRenamed("vertex", "doc_id").withColumnRenamed("component", "group")
-    sized = reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles"))
-    members = checkpointed(groups.join(sized, "doc_id"))
-    weights = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    members = checkpointed(members.join(weights, "group").select("doc_id", "group", "blocks"))
-    few = members.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    wanted = members.withColumnRenamed("doc_id", "member")
-    text = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("member"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    schema = arrow_schema(documents, "a long, b long")
+def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int) -> DataFrame:
+    """set_id, f, data: the segments of the sets of `wanted` (doc_id, set_id), by fragment; rows may repeat."""
+    few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    asked = wanted.select(F.col("doc_id").alias("member"), F.col("set_id"))
+    texts = documents.select("doc_id", "text").join(F.broadcast(asked) if few else asked, F.col("doc_id") == F.col("member"))
+    held = documents.sparkSession.sparkContext.broadcast(order)
 
     def make():
-        shingles = Shingler(n)
+        shingles, by, seen = Shingler(n), held.value, set()
 
         def work(batch):
-            sets = [shingles(t) for t in batch["text"].to_pylist()]
-            return {k: batch[k] for k in ("doc_id", "group", "blocks", "mine")} | {"shingles": [s.tobytes() for s in sets]}
+            ids, fragments, data = [], [], []
+            for text, asked_for in zip(batch["text"].to_pylist(), batch["set_id"].to_pylist(), strict=True):
+                own = shingles(text)
+                if asked_for in seen or set_id(digest(own)) != asked_for:  # an id may stand for several sets
+                    continue
+                if len(seen) < MAX_WORDS:
+                    seen.add(asked_for)
+                for f, part in by.segments(own):
+                    ids.append(asked_for)
+                    fragments.append(f)
+                    data.append(part.tobytes())
+            return {"set_id": ids, "f": fragments, "data": data}
 
         return work
 
-    listed = arrow_map(text.select("doc_id", "group", "blocks", mine.alias("mine"), "text"), make, "doc_id long, group long, blocks int, mine int, shingles binary")
-    dealt = deal(listed).select("doc_id", "group", "mine", "shingles", "i", "j")
+    return arrow_map(texts.select("text", "set_id"), make, "set_id long, f int, data binary")
+
 
-    def verify(table: pa.Table) -> pa.Table:
-        ids, sets, place = [], [], []
-        for doc, own, data in zip(table["doc_id"].to_pylist(), table["mine"].to_pylist(), table["shingles"].to_pylist(), strict=True):
-            ids.append(doc)
-            sets.append(np.frombuffer(data, dtype=np.uint64))
-            place.append(own)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        place = np.array(place)
-        left, right = np.flatnonzero(place == i), np.flatnonzero(place == j)
-        found = links_in_blocks(sets, ids, left, right, num, den)
-        return pa.Table.from_batches([to_batch({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema)])
+def vertical_links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that link: overlaps counted fragment by fragment, and summed per pair."""
+    first = segments.select(F.col("set_id").alias("a"), "f", F.col("data").alias("x"))
+    second = segments.select(F.col("set_id").alias("b"), "f", F.col("data").alias("y"))
+    met = pairs.join(first, "a").join(second, ["b", "f"])
 
-    return dealt.groupBy("group", "i", "j").applyInArrow(verify, "a long, b long").where("a <> b")
+    def make():
+        def work(batch):
+            both = zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)
+            counts = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
+            return {c: batch[c] for c in ("a", "b", "na", "nb", "f")} | {"n": counts}
+
+        return work
+
+    partial = arrow_map(met.select("a", "b", "na", "nb", "f", "x", "y"), make, "a long, b long, na long, nb long, f int, n long")
+    # A segment that came twice has counted the same.
+    total = partial.groupBy("a", "b", "na", "nb", "f").agg(F.max("n").alias("n")).groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
+    return total.where(den * F.col("n") >= num * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+
+
+def sized(pairs: DataFrame, reps: DataFrame, *more: str) -> DataFrame:
+    """pairs (a, b) with na, nb, and other columns of both sets."""
+    sides = [reps.select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n{s}"), *(F.col(c).alias(f"{c}_{s}") for c in more)) for s in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b")
+
+
+def near_pairs(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, na, nb of the pairs whose sketches leave room for a link."""
+
+    def make():
+        def work(batch):
+            rows = zip(*(batch[c].to_pylist() for c in ("sketch_a", "sketch_b", "na", "nb")), strict=True)
+            keep = pa.array([may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), na, nb, num, den) for x, y, na, nb in rows], pa.bool_())
+            return {c: batch[c].filter(keep) for c in ("a", "b", "na", "nb")}
+
+        return work
+
+    return arrow_map(sized(pairs, reps, "sketch").select("a", "b", "na", "nb", "sketch_a", "sketch_b"), make, "a long, b long, na long, nb long")
+
+
+def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between set ids whose components are those of all links; reps has doc_id, set_id, n_shingles, sketch."""
+    pairs, ties = candidates(documents, order, n, num, den)
+    near = checkpointed(near_pairs(pairs, reps, num, den))
+    groups = connected_components(ties).select(F.col("vertex").alias("set_id"), F.col("component").alias("group"))
+    members = checkpointed(reps.join(groups, "set_id").select("set_id", "n_shingles", "sketch", "group"))
+    asked = near.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(members.select("set_id")).distinct()
+    segments = checkpointed(segment_table(documents, reps.join(asked, "set_id", "left_semi").select("doc_id", "set_id"), order, n))
+    links = checkpointed(vertical_links(near, segments, num, den))
+    for number in count():
+        found = checkpointed(cross_pairs(members, connected_components(links), number, num, den))
+        if found.isEmpty():
+            return links
+        links = checkpointed(links.unionByName(vertical_links(sized(found.where("a IS NOT NULL"), reps), segments, num, den)))
+        if found.where("a IS NULL").isEmpty():
+            return links
+    raise AssertionError
 
 
 def linked(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -390,7 +419,9 @@ def linked(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
     classes = checkpointed(
         filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("set_id").alias("set_id"), F.first("sketch").alias("sketch"))
     )
-    links = set_links(documents, global_order(sets), classes.select(F.col("rep").alias("doc_id"), "set_id", "n_shingles", "sketch"), n, num, den)
+    between = set_links(documents, global_order(sets), classes.select(F.col("rep").alias("doc_id"), "set_id", "n_shingles", "sketch"), n, num, den)
+    ends = [classes.select(F.col("set_id").alias(s), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
+    links = between.join(ends[0], "a").join(ends[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # Ids that stand for several sets tie these sets' representatives.
     several = filled.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id")
     own = filled.join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

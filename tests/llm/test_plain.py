@@ -168,18 +168,19 @@ def test_shingles_and_bounds_lose_no_link():
                 assert set(order.prefix(sets[i], num, den).tolist()) & set(order.prefix(sets[j], num, den).tolist())
     assert len(real) > 100
 
-    def classes(edges):
-        trees = jaccard.Forest()
-        for a, b in edges:
-            trees.join(a, b)
-        return {frozenset(i for i in range(len(sets)) if trees.root(i) == r) for r in {trees.root(i) for i in range(len(sets))}}
-
-    everyone = np.arange(len(sets))
-    assert classes(jaccard.links_in_blocks(sets, list(range(len(sets))), everyone, everyone, num, den)) == classes(real)
+    for i in (0, 5, 40):
+        parts = order.segments(sets[i])
+        assert np.array_equal(np.sort(np.concatenate([p for _, p in parts])), sets[i]) and len({f for f, _ in parts}) == len(parts) > 1
+        ranks = [(int(order.count(np.array([s]))[0]), int(s), f) for f, p in parts for s in p]
+        assert [f for *_, f in sorted(ranks)] == sorted(f for *_, f in ranks)  # fragments follow the order
+    for i, j in list(real)[:50]:
+        x, y = dict(order.segments(sets[i])), dict(order.segments(sets[j]))
+        assert sum(len(np.intersect1d(x[f], y[f])) for f in x.keys() & y.keys()) == len(np.intersect1d(sets[i], sets[j]))
+    everyone, labels = np.arange(len(sets)), np.arange(len(sets)) // 2
     left, right = everyone[::2], everyone[1::2]
-    parts = [e for a, b in ((left, left), (left, right), (right, right)) for e in jaccard.passing_in_blocks(sketches, sizes, a, b, num, den)]
-    whole = classes(parts)
-    assert all(any(a in c and b in c for c in whole) for a, b in real)
+    found = [tuple(sorted(p)) for a, b in ((left, left), (left, right), (right, right)) for p in jaccard.passing_in_blocks(sketches, sizes, labels, a, b, num, den)]
+    assert len(found) == len(set(found)) and {(i, j) for i, j in real if labels[i] != labels[j]} <= set(found)
+    assert all(labels[i] != labels[j] for i, j in found)
 
 
 def test_url_trees_learn_and_are_bounded():

@@ -198,10 +198,26 @@ def test_mix_matches_a_full_sort(spark):
     assert {r.doc_id: r["count"] for r in drawn if got[r.doc_id][0]} == {k: v[3] // v[0] for k, v in got.items() if v[3]}
 
 
+class Forest:
+    """Union-find over small integers."""
+
+    def __init__(self):
+        self.parent = {}
+
+    def root(self, x):
+        while self.parent.get(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+
+
 def test_components_against_union_find(spark):
     draw = random.Random(2)
     for edges in ([(i, i + 1) for i in range(60)], [(draw.randrange(90), draw.randrange(90)) for _ in range(70)], [(0, i) for i in range(1, 50)], []):
-        trees = jaccard.Forest()
+        trees = Forest()
         for a, b in edges:
             trees.join(a, b)
         got = {r.vertex: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -213,7 +229,7 @@ def test_components_against_union_find(spark):
 @pytest.mark.parametrize("n, num", [(3, 90), (5, 80)])
 def test_jaccard_against_all_pairs(spark, monkeypatch, n, num):
     """Hot runs, several blocks and chains of near copies, with small limits so that every path is taken."""
-    for name, value in (("NEAR", 3), ("HOT_BLOCK", 16), ("BLOCK", 900), ("SHARED", 2)):
+    for name, value in (("NEAR", 3), ("NEAR_HOT", 1), ("HOT_BLOCK", 8), ("HOT_LIST", 6), ("SHARED", 2), ("HANDED", 2), ("ROUND", 3)):
         monkeypatch.setattr(jaccard, name, value)
     draw = random.Random(n)
     passage, texts = " ".join(f"p{i}" for i in range(60)), [None, "", "A b", "a B", "a b c"]
@@ -227,7 +243,7 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, n, num):
     texts += [" ".join(f"u{draw.randrange(9999)}" for _ in range(60)) + " " + passage for _ in range(30)]
     texts += [texts[8]] * 5 + [texts[-1].upper()]
     sets = [set(jaccard.Shingler(n)(t).tolist()) for t in texts]
-    trees = jaccard.Forest()
+    trees = Forest()
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= num * len(a | b):
