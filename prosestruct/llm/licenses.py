@@ -1,14 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Words are runs of letters and digits after A-Z are lower-cased: anything but ASCII signs, controls and spaces. A block
-is the words of a line, or of a span of consecutive lines with words: notices are wrapped. A span grows from its first
-line until the lines behind that hold as many words as the longest template, so it takes in whole any template that begins
-in its first line, however it is wrapped. A template matches a block that holds at least THRESHOLD of the template's
-distinct words; a span is shortened to the lines it takes to match, and belongs to the first of them. Words
-of templates are ordered by how many documents of the whole corpus hold them, rarest first, ties by the word. By the
-prefix filter a block that meets the threshold holds one of the first |T| - ceil(THRESHOLD * |T|) + 1 words of T, so
-only those are indexed; the length filter drops blocks with fewer distinct words than needed; the positional filter
-drops a pair once the words left after the first hit can't make up the rest. What remains is counted exactly.
+Words are runs of letters and digits after A-Z are lower-cased: anything but ASCII signs, controls and spaces. A block is
+any stretch of consecutive words of a text, across line ends, of at most STRETCH times as many words as the template: notices
+are wrapped and carry comment signs, but scattered words are no notice. A template matches a block that holds at least
+THRESHOLD of its distinct words. Words of templates are ordered by how many documents of the whole corpus hold them, rarest
+first, ties by the word. By the prefix filter a block that meets the threshold holds one of the first
+|T| - ceil(THRESHOLD * |T|) + 1 words of T, so only those are indexed, and only blocks around them are looked at; the length
+filter drops texts and blocks with fewer distinct words of T than needed; the positional filter drops a hit around which
+fewer words of T stand, from its own place in the order on, than needed, as then it isn't the rarest of any match. What
+remains is counted exactly, block by block. Matches of a template are reported by their first words, those that overlap once.
 
 Phrases of BASE are found besides, wherever their words stand consecutively, across lines too.
 
@@ -32,23 +32,30 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
 )
 THRESHOLD = Fraction(4, 5)
+#: Words of a block at most, as a multiple of the template's words.
+STRETCH = Fraction(5, 4)
 
-#: Lower case for A-Z, a space for what no word holds. A line feed keeps lines apart.
+#: Lower case for A-Z, a space for what no word holds.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_LINES = bytes(10 if b == 10 else c for b, c in enumerate(_TABLE))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks string"
 
 
@@ -56,67 +63,85 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def template_sets(templates=TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(words_of(text))) for label, text in templates]
+def template_words(templates=TEMPLATES) -> list[tuple[str, list[bytes]]]:
+    return [(label, words_of(text)) for label, text in templates]
 
 
 class ContainmentIndex:
-    """Finds the templates that a block contains to the threshold; `counts` orders words, absent ones first."""
+    """Finds the blocks that contain a template to the threshold; `counts` orders words, absent ones first."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], counts: dict[bytes, int], threshold: Fraction = THRESHOLD) -> None:
+    def __init__(self, templates: list[tuple[str, list[bytes]]], counts: dict[bytes, int], threshold: Fraction = THRESHOLD, stretch: Fraction = STRETCH) -> None:
         self.templates = []
-        self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
-        for label, words in templates:
-            order = sorted(words, key=lambda w: (counts.get(w, 0), w))
+        self.prefixes: dict[bytes, list[int]] = {}
+        for number, (label, words) in enumerate(templates):
+            order = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
             need = -(-threshold.numerator * len(order) // threshold.denominator)
-            for at, word in enumerate(order[: len(order) - need + 1]):
-                self.prefixes.setdefault(word, []).append((len(self.templates), at))
-            self.templates.append((label, order, need))
-
-    def __call__(self, block: set[bytes]) -> list[tuple[str, int, int]]:
-        """(label, words found, words of the template) of each match."""
-        return [(self.templates[number][0], hits, len(self.templates[number][1])) for number, hits in self.find(block)]
-
-    def find(self, block: set[bytes]) -> list[tuple[int, int]]:
-        """(template, words found) of each match."""
-        found, seen = [], set()
-        for word in sorted(block & self.prefixes.keys()):
-            for number, _ in self.prefixes[word]:
-                if number in seen:
+            reach = -(-stretch.numerator * len(words) // stretch.denominator)
+            for word in order[: len(order) - need + 1]:
+                self.prefixes.setdefault(word, []).append(number)
+            self.templates.append((label, {w: at for at, w in enumerate(order)}, need, reach))
+
+    def __call__(self, words: list[bytes]) -> list[tuple[str, int, float]]:
+        """(label, first word, containment) of the matches of a text, by template and place."""
+        present = set(words)
+        numbers = sorted({number for word in self.prefixes.keys() & present for number in self.prefixes[word]})
+        return [(self.templates[number][0], *match) for number in numbers for match in self._matches(words, present, number)]
+
+    def _matches(self, words: list[bytes], present: set[bytes], number: int) -> Iterator[tuple[int, float]]:
+        _, order, need, reach = self.templates[number]
+        if sum(w in present for w in order) < need:  # length filter
+            return
+        held = [(i, order[w]) for i, w in enumerate(words) if w in order]
+        spans = list(self._around(held, len(order) - need, need, reach))
+        best: tuple[int, int, int] | None = None  # words found, first word, end of the block
+        for first, last in spans:
+            for start, found, end in self._blocks(held[first:last], need, reach):
+                if best and start < best[2]:
+                    best = max(best, (found, best[1], best[2]), key=lambda x: x[0])
                     continue
-                seen.add(number)
-                _, order, need = self.templates[number]
-                if len(block) < need:  # length filter
-                    continue
-                hits = 0
-                for at, own in enumerate(order):
-                    hits += own in block
-                    if hits + len(order) - at - 1 < need:  # positional filter
-                        break
-                else:
-                    found.append((number, hits))
-        return found
-
-    def blocks(self, lines: list[list[bytes]], longest: int) -> Iterator[tuple[int, str, float, bool]]:
-        """(line, label, containment, whether the match begins there) of each match of the longest span from each line."""
-        held = [(number, set(words), len(words)) for number, words in enumerate(lines) if words]
-        for at, (line, own, _) in enumerate(held):
-            span, behind, end = set(own), 0, at + 1
-            while end < len(held) and behind < longest:
-                span |= held[end][1]
-                behind += held[end][2]
+                if best:
+                    yield best[1], best[0] / len(order)
+                best = (found, start, end)
+        if best:
+            yield best[1], best[0] / len(order)
+
+    @staticmethod
+    def _around(held: list[tuple[int, int]], most: int, need: int, reach: int) -> Iterator[tuple[int, int]]:
+        """Ranges of `held` that blocks around a hit of the prefix can cover, joined where they overlap."""
+        span, low, high = None, 0, 0
+        for at, own in held:
+            if own > most:
+                continue
+            while held[low][0] <= at - reach:
+                low += 1
+            high = max(high, low)
+            while high < len(held) and held[high][0] < at + reach:
+                high += 1
+            if len({p for _, p in held[low:high] if p >= own}) < need:  # positional filter
+                continue
+            if span and low < span[1]:
+                span = (span[0], high)
+            else:
+                if span:
+                    yield span
+                span = (low, high)
+        if span:
+            yield span
+
+    @staticmethod
+    def _blocks(held: list[tuple[int, int]], need: int, reach: int) -> Iterator[tuple[int, int, int]]:
+        """(first word, words found, end) of each longest block that starts with a word of the template and has enough of them."""
+        counts: Counter = Counter()
+        end = 0
+        for start, (first, own) in enumerate(held):
+            while end < len(held) and held[end][0] < first + reach:
+                counts[held[end][1]] += 1
                 end += 1
-            for number, hits in self.find(span):
-                label, order, need = self.templates[number]
-                wanted, without = set(order), set()
-                with_own = wanted & own
-                # The fewest lines that match; if those behind the first do so alone, the match begins later.
-                for _, words, _ in held[at + 1 : end]:
-                    if len(with_own) >= need:
-                        break
-                    without |= wanted & words
-                    with_own |= without
-                yield line, label, hits / len(order), len(without) < need
+            if len(counts) >= need:
+                yield first, len(counts), held[end - 1][0] + 1
+            counts[own] -= 1
+            if not counts[own]:
+                del counts[own]
 
 
 def places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
@@ -136,7 +161,7 @@ def places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str
 
 def template_word_counts(documents: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
     """Documents of the whole corpus that hold each word of a template."""
-    wanted = frozenset(w for _, words in template_sets(templates) for w in words)
+    wanted = frozenset(w for _, words in template_words(templates) for w in words)
 
     def make():
         def work(batch):
@@ -151,31 +176,24 @@ def template_word_counts(documents: DataFrame, templates=TEMPLATES) -> dict[byte
 
 def license_scan(documents: DataFrame, templates=TEMPLATES, base=BASE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (largest containment; 1 with a base
-    phrase), and blocks: label:line for each matching line and the first of each matching span, lines from 0, comma-joined."""
+    phrase), and blocks: label:word for each match, by its first word (from 0) and label, comma-joined."""
     counts = template_word_counts(documents, templates)
-    sets = template_sets(templates)
-    longest = max((len(words_of(text)) for _, text in templates), default=0)
+    sets = template_words(templates)
     phrases = {phrase.encode(): label for phrase, label in base.items()}
 
     def make():
         index = ContainmentIndex(sets, counts, threshold)
 
         def one(text):
-            lowered = (text or "").encode("utf-8", "surrogatepass").translate(_LINES)
-            words = lowered.split()
+            words = words_of(text)
             base_places = places(words, phrases)
-            best, blocks = 0.0, []
-            present = set(words)
-            if not index.prefixes.keys().isdisjoint(present):
-                for number, label, share, begins in index.blocks([line.split() for line in lowered.split(b"\n")], longest):
-                    best = max(best, share)
-                    if begins:
-                        blocks.append((number, label))
+            found = index(words)
+            best, blocks = max((share for *_, share in found), default=0.0), {(at, label) for label, at, _ in found}
             labels = {x for _, x in base_places}
             return (
                 len(words), len(base_places), base_places[0][0] if base_places else None, base_places[-1][0] if base_places else None,
                 ",".join(sorted(labels)), ",".join(sorted(labels | {x for _, x in blocks})), 1.0 if base_places else best,
-                ",".join(f"{label}:{number}" for number, label in sorted(set(blocks))),
+                ",".join(f"{label}:{at}" for at, label in sorted(blocks)),
             )
 
         names = [x.split(" ")[0] for x in SCHEMA.split(", ")[1:]]
