@@ -5,10 +5,11 @@ item. counts[h] is the number of windows filled up to level h. An item of size s
 counts grows least: from level h to h + s it grows by 2 * (counts[h + s] - counts[h]) + 2, where a new window (h = 0)
 or a full one has no count of its own. Ties go to the fuller window.
 
-Windows are local to a task, so nothing is shuffled and no id waits for another task. Open windows are emptied when
-there are more than `max_open`, and at the end of a task: their pieces are laid end to end, cut into full windows, and
-the last remainder into windows whose lengths are powers of two, which need no padding. So padding is zero, and a task
-holds at most max_open windows besides one batch of texts.
+Windows are local to a task, so nothing is shuffled and no id waits for another task. Open windows are settled when there
+are more than `max_open`, and at the end of a task: the fullest stay as they were placed and are topped up with what the
+emptiest hold, so there are as many full windows as the ids make, and the fewest ids move. What is left, less than a
+window, stays open, or at the end is cut into windows whose lengths are powers of two, which need no padding. So padding
+is zero, and a task holds at most max_open windows besides one batch of texts.
 
 Null texts count as empty: such a document is its end id alone. Rows with equal or null ids are documents of their own.
 Other columns are ignored; an empty table gives an empty result.
@@ -43,7 +44,7 @@ class SumOfSquares:
         self.window, self.max_open, self.next = window, max_open, first
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.levels: list[list[list[Piece]]] = [[] for _ in range(window + 1)]
-        self.open = 0
+        self.open = self.moved = 0
 
     def _level(self, size: int) -> int:
         """The level whose window takes the item."""
@@ -84,31 +85,48 @@ class SumOfSquares:
         self.counts[level + size] += 1
         self.open += 1
         if self.open > self.max_open:
-            yield from self.empty()
+            yield from self.settle()
+
+    def settle(self) -> Iterator[tuple[int, int, Piece]]:
+        """Close as many windows as all open ids fill: the fullest, topped up from the emptiest. The rest is one open window."""
+        windows = [(level, pieces) for level, held in enumerate(self.levels) for pieces in held]
+        full, left = divmod(sum(level for level, _ in windows), self.window)
+        spare = [piece for _, pieces in windows[: len(windows) - full] for piece in pieces][::-1]
+        self.counts[:] = 0
+        self.levels = [[] for _ in range(self.window + 1)]
+        for level, pieces in windows[len(windows) - full :][::-1]:
+            yield from self._close(pieces + self._taken(spare, self.window - level))
+        if left:
+            self.levels[left].append(spare[::-1])
+            self.counts[left] = 1
+        self.open = int(left > 0)
+
+    def _taken(self, spare: list[Piece], room: int) -> list[Piece]:
+        """Pieces of `room` ids from the end of `spare`, the last one cut."""
+        out = []
+        self.moved += room
+        while room:
+            document, start, ids, tokens = spare.pop()
+            size = min(room, len(ids) // 4)
+            out.append((document, start, ids[: 4 * size], tokens))
+            if 4 * size < len(ids):
+                spare.append((document, start + size, ids[4 * size :], tokens))
+            room -= size
+        return out
 
     def empty(self) -> Iterator[tuple[int, int, Piece]]:
         """Close all open windows without padding."""
-        pieces = [piece for level in self.levels for window in level for piece in window]
-        left = sum(len(ids) // 4 for _, _, ids, _ in pieces)
-        room, taken = self._cut(left), []
-        for document, start, ids, tokens in pieces:
-            while ids:
-                part, ids = ids[: 4 * room], ids[4 * room :]
-                taken.append((document, start, part, tokens))
-                start += len(part) // 4
-                room -= len(part) // 4
-                left -= len(part) // 4
-                if not room:
-                    yield from self._close(taken)
-                    room, taken = self._cut(left), []
+        yield from self.settle()
+        spare = [piece for level in self.levels for pieces in level for piece in pieces][::-1]
+        left = sum(len(ids) // 4 for _, _, ids, _ in spare)
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            yield from self._close(self._taken(spare, size))
+            left -= size
         self.counts[:] = 0
         self.levels = [[] for _ in range(self.window + 1)]
         self.open = 0
 
-    def _cut(self, left: int) -> int:
-        """Length of the next window when `left` ids remain: whole, else the largest power of two."""
-        return self.window if left >= self.window else 1 << max(0, left.bit_length() - 1)
-
 
 def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""

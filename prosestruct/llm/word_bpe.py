@@ -2,7 +2,8 @@
 
 The vocabulary's normaliser and splitter never look across white space, so a text's ids are its words' ids in a row.
 A word made of Latin-1 letters with other ASCII signs behind it is two or fewer library pre-tokens; its letters are
-merged here, for many words at once, and kept. Every other word goes through the library.
+merged here, for many words at once, and kept. Every other word goes through the library,
+which also finds the strings of special tokens in a text.
 """
 
 from __future__ import annotations
@@ -96,7 +97,6 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = Merger(path)
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
