@@ -1,5 +1,9 @@
 """Token counts under a unigram vocabulary, by dynamic programming shared over a trie.
 
+A vocabulary file of merges has no probabilities, only ranks. These are taken for ranks of frequency, and by Zipf's law the
+r-th of n pieces has the log-probability -ln(r) - ln(1 + 1/2 + ... + 1/n). A vocabulary with scores other than whole numbers
+is a unigram one, and its scores are used as they are.
+
 A pre-token is a maximal run of characters other than ASCII white space, with the word mark put before it. Its tokens
 are those of the segmentation with the largest sum of piece scores; equal sums go to the segmentation whose last piece
 is longest, then likewise leftwards. A character no piece covers scores UNKNOWN_PENALTY below the worst piece and
@@ -18,6 +22,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from .common import arrow_map
@@ -30,17 +36,25 @@ MAX_KEPT = 96
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long, score double"
 
 
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """Scores as they are, or ranks, given as whole negative numbers, by Zipf's law; ties by the piece."""
+    if not all(float(s).is_integer() for s in scores.values()):
+        return scores
+    whole = math.log(sum(1 / r for r in range(1, len(scores) + 1)))
+    return {piece: -math.log(r) - whole for r, piece in enumerate(sorted(scores, key=lambda p: (-scores[p], p)), 1)}
+
+
 def load_pieces(path: str) -> dict[str, float]:
-    """Scores of the ordinary pieces of a sentencepiece model; pieces with a word mark inside can't occur in a pre-token."""
+    """Log-probabilities of the ordinary pieces of a sentencepiece model; pieces with a word mark inside can't occur in a pre-token."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     special = (model.is_byte, model.is_control, model.is_unknown, model.is_unused)
-    return {
+    return log_probabilities({
         piece: model.get_score(i)
         for i in range(model.get_piece_size())
         if not any(f(i) for f in special) and MARK not in (piece := model.id_to_piece(i))[1:]
-    }
+    })
 
 
 Node = tuple[int, int, float]  # tokens, unknown characters, forward score
