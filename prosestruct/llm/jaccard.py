@@ -45,7 +45,7 @@ from .components import connected_components
 
 #: Shared shingles whose counts order the rest, 16 bytes each, and the documents of a batch that make one shared.
 MAX_FREQUENT, SHARED = 250_000, 3
-#: Rows of the table of sets in question that are broadcast at most (24 bytes each).
+#: Rows of the tables of sets in question and of unfinished groups that are broadcast at most (16 and 32 bytes each).
 MAX_BROADCAST = 1_000_000
 #: Sets before a set in a prefix list that it is paired with, in a hot run and elsewhere, and sets in a block of a group.
 NEAR, NEAR_HOT, HOT_BLOCK = 7, 2, 512
@@ -301,7 +301,9 @@ def cross_pairs(members: DataFrame, labels: DataFrame, number: int, num: int, de
     own = members.join(labels, F.col("set_id") == F.col("vertex"), "left").select("set_id", "n_shingles", "sketch", "group", F.coalesce("component", "set_id").alias("label"))
     classes = own.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = classes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.max("n").alias("most"), F.sum("n").alias("total")).where("most < total")
-    placed = own.join(groups, "group").withColumn("bigs", F.ceil(F.col("most") / HOT_BLOCK).cast("int")).withColumn("others", F.ceil((F.col("total") - F.col("most")) / HOT_BLOCK).cast("int"))
+    groups = checkpointed(groups)
+    few = groups.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    placed = own.join(F.broadcast(groups) if few else groups, "group").withColumn("bigs", F.ceil(F.col("most") / HOT_BLOCK).cast("int")).withColumn("others", F.ceil((F.col("total") - F.col("most")) / HOT_BLOCK).cast("int"))
     is_big, place = F.col("label") == F.col("big"), F.xxhash64("set_id")
     placed = placed.withColumn("mine", F.when(is_big, F.pmod(place, F.col("bigs"))).otherwise(F.col("bigs") + F.pmod(place, F.col("others"))).cast("int"))
     # Members of the largest class meet the others' blocks only.
@@ -321,7 +323,8 @@ def cross_pairs(members: DataFrame, labels: DataFrame, number: int, num: int, de
         return pa.Table.from_batches([to_batch({"a": a + more, "b": b + more}, schema)])
 
     columns = ("set_id", "n_shingles", "sketch", "label", "group", "mine", "i", "j")
-    return dealt.select(*columns).groupBy("group", "i", "j").applyInArrow(test, "a long, b long")
+    # Dealt by blocks, as rows that lie together by group would go to one task.
+    return dealt.select(*columns).repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(test, "a long, b long")
 
 
 def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int) -> DataFrame:
