@@ -8,7 +8,8 @@ enough, since any fixed order gives right results; the counts only keep common p
    shingles of each (prefix filter), and the smaller has at least t times the size of the larger (length filter). Sets
    with a common prefix shingle are put in order of size. Each is paired with the NEAR before it that its size allows; where
    more would be allowed, the run of sizes without a gap is hot: its members are paired with NEAR_HOT before them and tied
-   together as a group. The lists of shingles that very many sets share are split by salts, whose members are tied likewise.
+   together as a group. The lists of shingles that very many sets share are split by salts, whose members are tied likewise;
+   a set is paired in one of these lists only, that of its least shingle, which near copies mostly have in common.
    A sketch of each set, its shingles counted by hash range, bounds the overlap and drops pairs that can't link.
 2. Vertical partial overlaps. The global order of n-grams is cut into FRAGMENTS fragments and each set in question into its
    segments. A pair meets, fragment by fragment, as a row of two segments, which counts the overlap in that fragment alone;
@@ -16,8 +17,8 @@ enough, since any fixed order gives right results; the counts only keep common p
 3. Rounds. Links give classes, as connected components. What the first round left out are pairs of a hot group, of which
    only those between different classes matter. Groups of one class are done: near copies, however many, cost a few pairs
    each. Of the others, members outside the largest class meet all members, in blocks of HOT_BLOCK, by their sketches, and
-   what passes is counted vertically like the first pairs. A block hands on a bounded number of pairs a round, ever more,
-   until none is left or the classes have become one. No pair within a class is ever a row.
+   what passes is counted vertically like the first pairs. A block with many such pairs hands on SHARES of them, drawn by
+   hashes of the pairs, round by round, until none is left or the classes have become one. No pair within a class is a row.
 4. Documents with equal sets are one vertex all along. Components of the links, least doc_id first, are the result.
 
 Words are maximal runs of characters other than ASCII white space after A-Z are lower-cased; with fewer words than n
@@ -32,7 +33,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,8 @@ MAX_BROADCAST = 1_000_000
 NEAR, NEAR_HOT, HOT_BLOCK = 7, 2, 512
 #: Sets in a prefix list from which it is split by salts, as far as the global order knows.
 HOT_LIST = 2048
-#: Fragments of the order, and pairs that a block hands on in the first round; each later round has ROUND times as many.
-FRAGMENTS, HANDED, ROUND = 8, 4096, 16
+#: Fragments of the order, pairs that a block hands on at once, and else the shares of its pairs that are tested by round.
+FRAGMENTS, HANDED, SHARES = 4, 1024, (1 / 32, 1 / 4, 1)
 MAX_WORDS = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -199,7 +199,7 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
         shingles, seen, by = Shingler(n), set(), held.value
 
         def work(batch):
-            keys, ids, sizes, salts = [], [], [], []
+            keys, ids, sizes, salts, homes = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text)
                 if not len(own):
@@ -215,13 +215,14 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
                 ids.append(np.full(len(found), set_id(whole), dtype=np.int64))
                 sizes.append(np.full(len(found), len(own), dtype=np.int32))
                 salts.append(np.where(parts > 1, set_id(whole) % parts, -1).astype(np.int32))
+                homes.append((parts > 1) & (found == found[parts > 1].min(initial=np.iinfo(np.uint64).max)))
             if not keys:
-                return {"key": [], "salt": [], "a": [], "size": []}
-            return {"key": pa.array(np.concatenate(keys).view(np.int64)), "salt": np.concatenate(salts), "a": np.concatenate(ids), "size": np.concatenate(sizes)}
+                return {"key": [], "salt": [], "a": [], "size": [], "home": []}
+            return {"key": pa.array(np.concatenate(keys).view(np.int64)), "salt": np.concatenate(salts), "a": np.concatenate(ids), "size": np.concatenate(sizes), "home": np.concatenate(homes)}
 
         return work
 
-    rows = arrow_map(documents.select("text"), make, "key long, salt int, a long, size int")
+    rows = arrow_map(documents.select("text"), make, "key long, salt int, a long, size int, home boolean")
     by_size, size = W.partitionBy("key", "salt").orderBy("size", "a"), F.col("size")
     fits = lambda less, more: F.coalesce(less * den >= more * num, F.lit(False))
     once = rows.withColumn("copy", F.coalesce(F.lag("a").over(by_size) == F.col("a"), F.lit(False))).where("NOT copy")
@@ -230,8 +231,9 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
     runs = held_keys.withColumn("first", F.last(F.when(~F.col("joined"), F.col("a")), ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.withColumn("before", F.collect_list(F.struct("a", "size")).over(by_size.rowsBetween(-NEAR, -1)))
     hot = F.max("far").over(W.partitionBy("key", "salt", "first")) | (F.col("salt") >= 0)
-    kept = checkpointed(runs.withColumn("hot", hot).select("key", "salt", "a", "size", "first", "before", "hot"))
-    near = F.when(F.col("hot"), F.slice("before", F.greatest(F.size("before") - (NEAR_HOT - 1), F.lit(1)), NEAR_HOT)).otherwise(F.col("before"))
+    kept = checkpointed(runs.withColumn("hot", hot).select("key", "salt", "a", "size", "home", "first", "before", "hot"))
+    none = F.slice("before", 1, 0)
+    near = F.when((F.col("salt") >= 0) & ~F.col("home"), none).when(F.col("hot"), F.slice("before", F.greatest(F.size("before") - (NEAR_HOT - 1), F.lit(1)), NEAR_HOT)).otherwise(F.col("before"))
     both = kept.select("a", "size", F.explode(near).alias("x")).where(fits(F.col("x.size"), size) & (F.col("a") != F.col("x.a")))
     pairs = both.select(F.least("a", "x.a").alias("a"), F.greatest("a", "x.a").alias("b")).distinct()
     # A split list is tied to a vertex of its own; runs of whole lists to their first set.
@@ -287,15 +289,17 @@ def passing_in_blocks(sketches: list[np.ndarray], sizes: np.ndarray, labels: np.
                 yield int(i), int(j)
 
 
-def handed(number: int) -> tuple[int, int]:
-    """Which of a block's pairs it hands on in a round: from, up to."""
-    start = HANDED * (ROUND**number - 1) // (ROUND - 1)
-    return start, start + HANDED * ROUND**number
+def drawn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each pair of ids, the same whenever it is asked for."""
+    with np.errstate(over="ignore"):
+        return _mix(np.minimum(a, b).astype(np.uint64) * _M1 + np.maximum(a, b).astype(np.uint64) + _M2).astype(np.float64) / 2.0**64
 
 
 def cross_pairs(members: DataFrame, labels: DataFrame, number: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of set ids of a group, from different classes, that a round tests; a null pair says that more are left.
 
+    A block with few pairs hands on all of them in the first round; later rounds may test some of these again.
+
     members has set_id, n_shingles, sketch and group; labels has vertex and component, for sets in a class with others.
     """
     own = members.join(labels, F.col("set_id") == F.col("vertex"), "left").select("set_id", "n_shingles", "sketch", "group", F.coalesce("component", "set_id").alias("label"))
@@ -310,16 +314,23 @@ def cross_pairs(members: DataFrame, labels: DataFrame, number: int, num: int, de
     meets = F.sequence(F.when(is_big, F.col("bigs")).otherwise(F.lit(0)), F.col("bigs") + F.col("others") - 1)
     dealt = placed.withColumn("other", F.explode(meets)).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     schema = arrow_schema(members, "a long, b long")
-    start, end = handed(number)
+    start, end = (0, *SHARES)[number], SHARES[number]
 
     def test(table: pa.Table) -> pa.Table:
         table = table.sort_by("set_id")
         ids, place, labels = table["set_id"].to_numpy(), table["mine"].to_numpy(), table["label"].to_numpy()
         sketches = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
         left, right = np.flatnonzero(place == table["i"][0].as_py()), np.flatnonzero(place == table["j"][0].as_py())
-        found = list(islice(passing_in_blocks(sketches, table["n_shingles"].to_numpy(), labels, left, right, num, den), start, end + 1))
-        a, b = [int(min(ids[x], ids[y])) for x, y in found[: end - start]], [int(max(ids[x], ids[y])) for x, y in found[: end - start]]
-        more = [None] * (len(found) > end - start)
+        found = np.array(list(passing_in_blocks(sketches, table["n_shingles"].to_numpy(), labels, left, right, num, den)), dtype=np.int64).reshape(-1, 2)
+        one, two = ids[found[:, 0]], ids[found[:, 1]]
+        more = []
+        if len(found) > HANDED or start:
+            # A pair that an earlier round tested, and that still lies between classes, is no link.
+            share = drawn(one, two)
+            now = (share >= start) & (share < end) if end < 1 else share >= start
+            more = [None] * bool((share >= end).any() and end < 1)
+            one, two = one[now], two[now]
+        a, b = np.minimum(one, two).tolist(), np.maximum(one, two).tolist()
         return pa.Table.from_batches([to_batch({"a": a + more, "b": b + more}, schema)])
 
     columns = ("set_id", "n_shingles", "sketch", "label", "group", "mine", "i", "j")
@@ -405,14 +416,14 @@ def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num:
     asked = near.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(members.select("set_id")).distinct()
     segments = checkpointed(segment_table(documents, reps.join(asked, "set_id", "left_semi").select("doc_id", "set_id"), order, n))
     links = checkpointed(vertical_links(near, segments, num, den))
-    for number in count():
+    for number in range(len(SHARES)):
         found = checkpointed(cross_pairs(members, connected_components(links), number, num, den))
         if found.isEmpty():
-            return links
+            break
         links = checkpointed(links.unionByName(vertical_links(sized(found.where("a IS NOT NULL"), reps), segments, num, den)))
         if found.where("a IS NULL").isEmpty():
-            return links
-    raise AssertionError
+            break
+    return links
 
 
 def linked(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:

@@ -230,7 +230,7 @@ def test_components_against_union_find(spark):
 @pytest.mark.parametrize("n, num", [(3, 90), (5, 80)])
 def test_jaccard_against_all_pairs(spark, monkeypatch, n, num):
     """Hot runs, several blocks and chains of near copies, with small limits so that every path is taken."""
-    for name, value in (("NEAR", 3), ("NEAR_HOT", 1), ("HOT_BLOCK", 8), ("HOT_LIST", 6), ("SHARED", 2), ("HANDED", 2), ("ROUND", 3)):
+    for name, value in (("NEAR", 3), ("NEAR_HOT", 1), ("HOT_BLOCK", 8), ("HOT_LIST", 6), ("SHARED", 2), ("HANDED", 2), ("SHARES", (0.1, 0.4, 1))):
         monkeypatch.setattr(jaccard, name, value)
     draw = random.Random(n)
     passage, texts = " ".join(f"p{i}" for i in range(60)), [None, "", "A b", "a B", "a b c"]
