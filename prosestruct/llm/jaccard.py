@@ -16,7 +16,7 @@ enough, since any fixed order gives right results; the counts only keep common p
    the counts are summed per pair, and the sum meets the exact integer condition or not. So no task holds whole sets.
 3. Rounds. Links give classes, as connected components. What the first round left out are pairs of a hot group, of which
    only those between different classes matter. Groups of one class are done: near copies, however many, cost a few pairs
-   each. Of the others, members outside the largest class meet all members, in blocks of HOT_BLOCK, by their sketches, and
+   each. Of the others, members outside the largest class meet all members, in blocks of HOT_BLOCK, by finer sketches, and
    what passes is counted vertically like the first pairs. A block with many such pairs hands on SHARES of them, drawn by
    hashes of the pairs, round by round, until none is left or the classes have become one. No pair within a class is a row.
 4. Documents with equal sets are one vertex all along. Components of the links, least doc_id first, are the result.
@@ -53,6 +53,8 @@ NEAR, NEAR_HOT, HOT_BLOCK = 7, 2, 512
 HOT_LIST = 2048
 #: Fragments of the order, pairs that a block hands on at once, and else the shares of its pairs that are tested by round.
 FRAGMENTS, HANDED, SHARES = 4, 1024, (1 / 32, 1 / 4, 1)
+#: How much finer the sketches are by which members of a group meet, and where they stand among the fragments.
+FINER, FINE = 3, -1
 MAX_WORDS = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -136,11 +138,11 @@ def set_id(whole: bytes) -> int:
     return int.from_bytes(whole[:8], "little", signed=True)
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Shingles by fragment, one byte each; empty, which bounds nothing, if one doesn't fit."""
+def sketch(shingles: np.ndarray, finer: int = 0) -> bytes:
+    """Shingles by hash range, one byte each; empty, which bounds nothing, if one doesn't fit. `finer` halves ranges so often."""
     if not len(shingles):
         return b""
-    bits = max(3, (len(shingles) // 2).bit_length() - 1)
+    bits = max(3, (len(shingles) // 2).bit_length() - 1) + finer
     counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
@@ -339,7 +341,7 @@ def cross_pairs(members: DataFrame, labels: DataFrame, number: int, num: int, de
 
 
 def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int) -> DataFrame:
-    """set_id, f, data: the segments of the sets of `wanted` (doc_id, set_id), by fragment; rows may repeat."""
+    """set_id, f, data: the segments of the sets of `wanted` (doc_id, set_id), by fragment, and a fine sketch as f = FINE; rows may repeat."""
     few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     asked = wanted.select(F.col("doc_id").alias("member"), F.col("set_id"))
     texts = documents.select("doc_id", "text").join(F.broadcast(asked) if few else asked, F.col("doc_id") == F.col("member"))
@@ -356,10 +358,10 @@ def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int)
                     continue
                 if len(seen) < MAX_WORDS:
                     seen.add(asked_for)
-                for f, part in by.segments(own):
-                    ids.append(asked_for)
-                    fragments.append(f)
-                    data.append(part.tobytes())
+                parts = [(f, part.tobytes()) for f, part in by.segments(own)] + [(FINE, sketch(own, FINER))]
+                ids += [asked_for] * len(parts)
+                fragments += [f for f, _ in parts]
+                data += [x for _, x in parts]
             return {"set_id": ids, "f": fragments, "data": data}
 
         return work
@@ -369,6 +371,7 @@ def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int)
 
 def vertical_links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link: overlaps counted fragment by fragment, and summed per pair."""
+    segments = segments.where(F.col("f") != FINE)
     first = segments.select(F.col("set_id").alias("a"), "f", F.col("data").alias("x"))
     second = segments.select(F.col("set_id").alias("b"), "f", F.col("data").alias("y"))
     met = pairs.join(first, "a").join(second, ["b", "f"])
@@ -416,6 +419,8 @@ def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num:
     asked = near.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(members.select("set_id")).distinct()
     segments = checkpointed(segment_table(documents, reps.join(asked, "set_id", "left_semi").select("doc_id", "set_id"), order, n))
     links = checkpointed(vertical_links(near, segments, num, den))
+    fine = segments.where(F.col("f") == FINE).groupBy("set_id").agg(F.first("data").alias("sketch"))
+    members = checkpointed(members.drop("sketch").join(fine, "set_id"))
     for number in range(len(SHARES)):
         found = checkpointed(cross_pairs(members, connected_components(links), number, num, den))
         if found.isEmpty():
