@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import arrow_schema, to_batch
-from .word_bpe import WordBpe
+from .word_bpe import loaded
 
 WINDOW = 4096
 END_ID = 2
@@ -133,7 +133,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
     schema = arrow_schema(documents, SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordBpe(tokenizer_path)
+        encode = loaded(tokenizer_path)
         end = int(end_id).to_bytes(4, "little")
         packer = SumOfSquares(window, max_open, TaskContext.get().partitionId() * PER_TASK)
 

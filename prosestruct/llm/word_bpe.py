@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 
 MAX_KEPT = 400_000
 LONGEST = 40
 _FAR = np.iinfo(np.int32).max
-#: Letters whose lower case and composition are plain, then signs that form one pre-token (an apostrophe starts another).
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Letters whose lower case and composition are plain, and signs that form one pre-token (an apostrophe starts another).
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> dict[int, str]:
@@ -74,8 +76,10 @@ class Merger:
             least = ranks[np.arange(len(rows)), first]
             go = least < _FAR
             if not go.all():
-                for r in np.flatnonzero(~go):
-                    out[members[rows[r]]] = ids[r][ids[r] >= 0].tobytes()
+                done, step = ids[~go], 4 * ids.shape[1]
+                data, ends = done.tobytes(), 4 * (done >= 0).sum(axis=1)
+                for i, (r, end) in enumerate(zip(rows[~go].tolist(), ends.tolist(), strict=True)):
+                    out[members[r]] = data[i * step : i * step + end]
                 rows, ids, ranks, first, least = rows[go], ids[go], ranks[go], first[go], least[go]
                 if not len(rows):
                     return
@@ -104,27 +108,38 @@ class WordBpe:
     def _by_library(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: set[bytes]) -> None:
         if len(self.cores) > MAX_KEPT:
             self.cores = {}
         plain, other = [], []
         for word in new:
-            text = word.decode("utf-8", "replace")
-            match = _PLAIN.fullmatch(text)
-            core = match[1].lower().encode() if match else b""
-            if match and len(core) <= LONGEST and len(match[2]) <= LONGEST:
-                plain.append((word, core, match[2].encode()))
+            core = word.rstrip(_SIGNS)
+            if core.isalpha():  # of bytes: ASCII letters alone
+                low = core.lower()
+            elif _LETTERS.fullmatch(text := core.decode("utf-8", "replace")):
+                low = text.lower().encode()
             else:
-                other.append((word, text))
-        parts = [p for p in dict.fromkeys(x for _, a, b in plain for x in (a, b) if x) if p not in self.cores]
-        self.cores.update(zip(parts, self.merge(parts), strict=True))
-        self.cores[b""] = b""
-        self.words.update((word, self.cores[a] + self.cores[b]) for word, a, b in plain)
-        self.words.update(zip((w for w, _ in other), self._by_library([t for _, t in other]), strict=True))
+                other.append(word)
+                continue
+            if len(low) <= LONGEST and len(word) - len(core) <= LONGEST:
+                plain.append((word, low, word[len(core) :]))
+            else:
+                other.append(word)
+        parts = list({a for _, a, _ in plain}.union(b for _, _, b in plain if b).difference(self.cores))
+        cores = self.cores
+        cores.update(zip(parts, self.merge(parts), strict=True))
+        self.words.update([(word, cores[a] + cores[b] if b else cores[a]) for word, a, b in plain])
+        self.words.update(zip(other, self._by_library([w.decode("utf-8", "replace") for w in other]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
         if len(self.words) > MAX_KEPT:
             self.words = {}
-        self._learn([w for w in set().union(*split) if w not in self.words])
+        self._learn(set().union(*(set(words).difference(self.words) for words in split)))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+
+@lru_cache(maxsize=1)
+def loaded(path: str) -> WordBpe:
+    """The tokenizer of this process: a Python worker's next tasks find the merges and the words kept so far."""
+    return WordBpe(path)
