@@ -7,7 +7,7 @@ from ..schema import (
     sql_list,
 )
 from ..sources.providers import CLOSED, LEMMAS, SENTENCE, SUFFIXES
-from .fixtures import FEATS, PATHS, SENTENCES
+from .fixtures import FEATS, PATHS, SENTENCES, STATED
 
 _STOP = sql_list(STOP_WORDS)
 _SPACE = r"[\s\x0b\x85\p{Z}]"
@@ -284,3 +284,31 @@ paragraphs AS (SELECT doc_id, 0 AS section_idx, row_number() OVER (PARTITION BY
 SELECT d.doc_id, CAST(CASE WHEN p.c > 0 THEN 1 ELSE 0 END AS BIGINT) AS sections, CAST(coalesce(p.c, 0) AS BIGINT) AS paragraphs, round(CAST(k AS DOUBLE) / nullif(n, 0), 8) AS vocabulary_ttr
 FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS c FROM paragraphs GROUP BY doc_id) p ON p.doc_id = d.doc_id""",
 }
+
+
+def _stated(sql: str) -> str:
+    """The same over texts with a stated paragraph behind each."""
+    more = "[" + ", ".join(map(_literal, STATED)) + f"][doc_id % {len(STATED)} + 1]"
+    return sql.replace(RAW, RAW.replace(" AS text FROM", f" || chr(10) || chr(10) || {more} AS text FROM"))
+
+
+def _counted(name: str, sql: str) -> str:
+    return f"{name} AS (SELECT doc_id, sent_idx, count(*) AS n FROM ({_stated(sql)}) GROUP BY ALL)"
+
+
+_FOUND = ("negations", "modals", "reportings", "root_adverbials", "bare_assertions")
+ORACLE |= {
+    "stated_negations": _stated(ORACLE["negations"]),
+    "stated_modals": _stated(ORACLE["modals"]),
+    "decompose_mixed": f"""SELECT doc_id, CAST(0 AS BIGINT) AS section_idx, para_idx, CAST(0 AS BIGINT) AS level, CAST(NULL AS VARCHAR) AS heading, text, false AS in_blockquote
+FROM ({ORACLE["decompose_plain"]}) WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0
+UNION ALL SELECT doc_id, section_idx, para_idx, level, heading, text, in_blockquote FROM ({ORACLE["decompose_markdown"]}) WHERE doc_id % 2 = 1 AND doc_id % 5 <> 0""",
+    "document_totals": f"""SELECT doc_id, total_sentences, total_words, mean_sentence_length, coalesce(passive_ratio, 0.0) AS passive_share FROM ({ORACLE["document_metrics"]})""",
+    "composed_paragraphs": f"""SELECT doc_id, para_idx, lexical_density, readability_grade FROM ({ORACLE["paragraph_metrics"]})""",
+    "json_round_trip": f"""WITH {_stated(TOKENS)}, {", ".join(_counted(name, ORACLE[name]) for name in _FOUND)}
+SELECT {_SENT}, t.n AS tokens, {", ".join(f"coalesce({name}.n, 0) AS {name}" for name in _FOUND[:-1])}, bare_assertions.n IS NOT NULL AS bare_assertion
+FROM (SELECT doc_id, sent_idx, count(*) AS n FROM tok GROUP BY ALL) t {" ".join(f"LEFT JOIN {name} ON {_same(name, 't')}" for name in _FOUND)}""",
+    "extractor_limits": f"""WITH {TOKENS}, sizes AS (SELECT doc_id, 'textrank' AS method, count(*) AS n, 50 AS most FROM sents GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'rake', count(*), 500 FROM tok GROUP BY doc_id)
+SELECT doc_id, method, 'InputTooLarge' AS kind, method || ' input too large: ' || n || ' > limit ' || most AS message FROM sizes WHERE n > most""",
+}

@@ -17,11 +17,14 @@ from ..operators.detect import detect
 from ..schema import TOKENS
 from ..sources import ingest, providers
 from .engine import Engine
-from .fixtures import FEATS, PATHS, SENTENCES
+from .fixtures import FEATS, PATHS, SENTENCES, STATED
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOP = 5
 QUERIES: dict[str, Query] = {}
+PLAIN = Engine(decomposers={"plain": decompose.plain})
+#: Limits low enough for some documents to be over them.
+FEW_SENTENCES, FEW_TOKENS = 50, 500
 
 
 def query(f: Query) -> Query:
@@ -51,8 +54,21 @@ def raw_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.lit(None).cast("string").alias("path"), F.expr(made).alias("text"), F.lit("markdown").alias("format"))
 
 
+def raw_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document is named a PDF, which no decomposer takes; of the others odd ones are Markdown and even ones plain."""
+    pdf, odd = F.col("doc_id") % 5 == 0, F.col("doc_id") % 2 == 1
+    even = raw(spark, sf_dir).where(~odd).withColumn("format", F.when(pdf, "pdf").otherwise("plain"))
+    return even.unionByName(raw_markdown(spark, sf_dir).where(odd).withColumn("format", F.when(pdf, "pdf").otherwise("markdown")))
+
+
+def raw_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts have next to no negations or modals, so each gets one of three paragraphs that do, by its number."""
+    stated = F.element_at(F.array(*map(F.lit, STATED)), (F.col("doc_id") % len(STATED) + 1).cast("int"))
+    return raw(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n\n"), stated))
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return Engine(decomposers={"plain": decompose.plain}).parse(raw(spark, sf_dir))
+    return PLAIN.parse(raw(spark, sf_dir))
 
 
 def trees(spark: SparkSession) -> DataFrame:
@@ -85,6 +101,13 @@ def decompose_markdown(spark, sf_dir):
     return rows.select("doc_id", F.col("section_idx").cast("long").alias("section_idx"), F.col("para_idx").cast("long").alias("para_idx"), "heading", F.col("level").cast("long").alias("level"), "text", "in_blockquote")
 
 
+@query
+def decompose_mixed(spark, sf_dir):
+    """Each document by the decomposer of its format, through the table of decomposers; formats without one give no rows."""
+    rows = decompose.decompose(raw_mixed(spark, sf_dir))
+    return rows.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("section_idx", "para_idx", "level")), "heading", "text", "in_blockquote")
+
+
 @query
 def tokens_rules(spark, sf_dir):
     rows = parsed(spark, sf_dir)[1].select("doc_id", "para_idx", "sent_idx", F.explode("tokens").alias("t"))
@@ -100,20 +123,30 @@ def sentence_stats(spark, sf_dir):
     )
 
 
-def _detections(spark, sf_dir, column: str, *fields: str) -> DataFrame:
-    found = detect(parsed(spark, sf_dir)[1]).select("doc_id", "sent_idx", F.explode(column).alias("d"))
+def _detections(sentences: DataFrame, column: str, *fields: str) -> DataFrame:
+    found = detect(sentences).select("doc_id", "sent_idx", F.explode(column).alias("d"))
     kind = dict(found.select("d.*").dtypes)
     return found.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), *((F.col(f"d.{f}").cast("long") if kind[f] == "int" else F.col(f"d.{f}")).alias(f) for f in fields))
 
 
 @query
 def negations(spark, sf_dir):
-    return _detections(spark, sf_dir, "negations", "cue_id", "cue_lemma", "head_id")
+    return _detections(parsed(spark, sf_dir)[1], "negations", "cue_id", "cue_lemma", "head_id")
 
 
 @query
 def modals(spark, sf_dir):
-    return _detections(spark, sf_dir, "modals", "aux_id", "aux_lemma", "head_id")
+    return _detections(parsed(spark, sf_dir)[1], "modals", "aux_id", "aux_lemma", "head_id")
+
+
+@query
+def stated_negations(spark, sf_dir):
+    return _detections(PLAIN.parse(raw_stated(spark, sf_dir))[1], "negations", "cue_id", "cue_lemma", "head_id")
+
+
+@query
+def stated_modals(spark, sf_dir):
+    return _detections(PLAIN.parse(raw_stated(spark, sf_dir))[1], "modals", "aux_id", "aux_lemma", "head_id")
 
 
 @query
@@ -123,12 +156,12 @@ def bare_assertions(spark, sf_dir):
 
 @query
 def reportings(spark, sf_dir):
-    return _detections(spark, sf_dir, "reportings", "verb_id", "verb_lemma", "ccomp_id", "subject_id", "subject_lemma")
+    return _detections(parsed(spark, sf_dir)[1], "reportings", "verb_id", "verb_lemma", "ccomp_id", "subject_id", "subject_lemma")
 
 
 @query
 def root_adverbials(spark, sf_dir):
-    return _detections(spark, sf_dir, "root_adverbials", "adv_id", "adv_lemma")
+    return _detections(parsed(spark, sf_dir)[1], "root_adverbials", "adv_id", "adv_lemma")
 
 
 @query
@@ -227,6 +260,21 @@ def document_metrics(spark, sf_dir):
     return rows.select("doc_id", "paragraph_count", "total_sentences", "total_words", *(F.round(c, 8).alias(c) for c in rounded))
 
 
+@query
+def document_totals(spark, sf_dir):
+    """What the command line shows of a document; a document without sentences has a passive share of 0, not null."""
+    rows = metrics.document_metrics(raw(spark, sf_dir), *parsed(spark, sf_dir))
+    return rows.select("doc_id", "total_sentences", "total_words", *(F.round(c, 8).alias(c) for c in ("mean_sentence_length", "passive_share")))
+
+
+@query
+def composed_paragraphs(spark, sf_dir):
+    """The engine's own composition, with a suite in another order."""
+    engine = Engine(decomposers={"plain": decompose.plain}, suite=(metrics.density_metric, metrics.readability_metric))
+    rows = engine.compose(engine.annotate(raw(spark, sf_dir)))[0]
+    return rows.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), F.round("lexical_density", 9).alias("lexical_density"), F.round("readability_grade", 6).alias("readability_grade"))
+
+
 @query
 def section_breakdown(spark, sf_dir):
     paragraphs, sentences = Engine(decomposers={"markdown": decompose.markdown}).parse(raw_markdown(spark, sf_dir))
@@ -284,3 +332,24 @@ def analyzed_documents(spark, sf_dir):
     nested, _ = Engine(suite=(metrics.readability_metric, metrics.density_metric)).analyze(raw(spark, sf_dir))
     return nested.select("doc_id", F.coalesce(F.size("sections"), F.lit(0)).cast("long").alias("sections"), F.coalesce(F.size(F.flatten("sections.paragraphs")), F.lit(0)).cast("long").alias("paragraphs"),
         F.round("vocabulary_ttr", 8).alias("vocabulary_ttr"))
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    """Analysed documents as JSON and read again: each sentence's bytes, tokens and detections."""
+    nested, _ = Engine(decomposers={"plain": decompose.plain}, suite=()).analyze(raw_stated(spark, sf_dir))
+    read = ingest.from_json(ingest.to_json(nested.drop("path")))
+    rows = read.select("doc_id", F.posexplode(F.flatten(F.flatten("sections.paragraphs").getField("sentences"))).alias("at", "s"))
+    sizes = (F.size(f"s.{c}").cast("long").alias(c) for c in ("tokens", "negations", "modals", "reportings", "root_adverbials"))
+    return rows.select("doc_id", F.col("at").cast("long").alias("sent_idx"), *sizes, "s.bare_assertion")
+
+
+def _over(spark, sf_dir, method: str, limit: int) -> DataFrame:
+    rows = PLAIN.extract_errors(raw(spark, sf_dir), method, limit)
+    return rows.select("doc_id", F.lit(method).alias("method"), "error.kind", "error.message")
+
+
+@query
+def extractor_limits(spark, sf_dir):
+    """Documents over an extractor's limit, as errors; the limits are lowered to show some."""
+    return _over(spark, sf_dir, "textrank", FEW_SENTENCES).unionByName(_over(spark, sf_dir, "rake", FEW_TOKENS))
