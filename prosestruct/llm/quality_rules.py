@@ -40,6 +40,7 @@ MAX_REPEATED = 0.2
 WINDOW = 5
 
 _NOISY = re.compile(rb"[#*$%&|<>]|[!?]{2,}$")
+_MAYBE_NOISY = re.compile(rb"[#*$%&|<>]|[!?]{2}")
 _PAUSE = re.compile("[.!?,;:…。！？、，؟।–—-]")
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -68,7 +69,7 @@ def line_rule(line: bytes, words: list[bytes], times: int) -> str | None:
     if separators >= 3 and separators * 10 >= n:
         return "navigation"
     if n >= 5:
-        noisy = _NOISY.search(line) and sum(1 for w in words if _NOISY.search(w))
+        noisy = _MAYBE_NOISY.search(line) and sum(1 for w in words if _NOISY.search(w))
         if noisy and 2 * noisy >= n:
             return "punctuation"
     if n >= LONG_LINE:
