@@ -77,7 +77,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mix": MIX_SQL}
+    return {"op3_quality_rules": RULES_SQL, "op7_source_mix": MIX_SQL}
+
+
+def _texts(values) -> str:
+    return ", ".join("'" + (v.decode() if isinstance(v, bytes) else v) + "'" for v in values)
+
+
+#: The same rules over flat tables of words and lines; a line is lost if any rule holds.
+RULES_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM listed),
+windows AS (
+  SELECT r, i, x, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS five, lead(x, 4) OVER o IS NOT NULL AS whole
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+found AS (SELECT r, i, x, whole AND count(*) OVER (PARTITION BY r, whole, five) > 1 AS often FROM windows),
+covered AS (SELECT r, x, bool_or(often) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS again FROM found),
+base AS (SELECT r, count(*) AS n_words, sum(length(x)) AS word_chars, count(*) FILTER (WHERE again) AS n_repeat_words FROM covered GROUP BY r),
+lines AS (
+  SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+filled AS (SELECT *, len(w) AS n, count(*) OVER (PARTITION BY r, line) AS times FROM lines WHERE len(w) > 0),
+counted AS (
+  SELECT *, len(list_filter(w, lambda x: x IN ({_texts(quality_rules.SEPARATORS)}))) AS separators,
+    len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]|[!?][!?]$'))) AS noisy FROM filled),
+judged AS (
+  SELECT r, line, n, (separators >= 3 AND separators * 10 >= n) OR (n >= 5 AND noisy > 0 AND 2 * noisy >= n)
+    OR (n >= {quality_rules.LONG_LINE} AND (5 * len(list_distinct(w)) < n OR NOT regexp_matches(line, '[.!?,;:…。！？、，؟।–—-]')))
+    OR (n < {quality_rules.LONG_LINE} AND len(list_filter([{_texts(quality_rules.BOILERPLATE)}], lambda b: contains(low, b))) > 0)
+    OR times >= {quality_rules.REPEATED_LINE} AS lost FROM counted),
+lost AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE lost), 0) AS lost_words FROM judged GROUP BY r),
+whole AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_words, 0) AS lost_words
+  FROM docs LEFT JOIN base USING (r) LEFT JOIN lost USING (r)),
+failed AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM whole)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND lost_words <= CAST({quality_rules.MAX_LOST} AS DOUBLE) * n_words AS kept, CAST(lost_words AS BIGINT) AS lost_words
+FROM failed
+"""
 
 
 #: The same mix by a full sort on the hash, and targets by sharing excess again and again.

@@ -125,6 +125,27 @@ def test_quality_rules_base_against_regex():
         assert got["base_failed"] == (len(words) < 10 or 100 * len(repeated) > 20 * len(words))
 
 
+def test_quality_rules_against_their_sql():
+    import duckdb
+    import pyarrow as pa
+
+    from prosestruct.llm.queries import oracle_sql
+
+    draw = random.Random(6)
+    bits = ["wow!!", "no??", "a|b", "|", "»", "click here", "TERMS of use", "é", "plain", "word", "end.", "x" * 30, "日本", "\t", "\r", "::", "Lorem ipsum"]
+    made = ["\n".join(" ".join(draw.choices(bits if draw.random() < 0.5 else ["w%d" % i for i in range(40)], k=draw.randint(0, 30))) for _ in range(draw.randint(1, 9))) for _ in range(400)]
+    texts = [None, "", " \n ", "wow!! yes!! no!! ok!! fine then", *made, *made[:5], "\n".join(["same line again here"] * 4)]
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    duck = duckdb.connect()
+    duck.register("documents", table)
+    result = duck.execute(oracle_sql()["op3_quality_rules"])
+    names = [d[0] for d in result.description]
+    want = sorted((dict(zip(names, row, strict=True)) for row in result.fetchall()), key=lambda r: r["doc_id"])
+    got = [{"doc_id": i} | quality_rules.judge(text) for i, text in enumerate(texts)]
+    assert [{n: r[n] for n in names} for r in got] == want
+    assert len({r["kept"] for r in want}) == 2 and quality_rules.judge(texts[3])["n_punctuation"] == 1
+
+
 def test_quality_rules_keep_prose_and_drop_junk():
     prose = "A quiet river runs past the mill, and boats wait there.\n" * 1 + "Nobody saw the heron leave; the reeds hid it well."
     bars = " | ".join(f"word{i}" for i in range(60))
