@@ -77,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": RULES_SQL, "op7_source_mix": MIX_SQL}
+    return {"op3_quality_rules": RULES_SQL, "op8_jaccard_join": JACCARD_SQL, "op7_source_mix": MIX_SQL}
 
 
 def _texts(values) -> str:
@@ -146,3 +146,24 @@ SELECT doc_id, size, source_size, target,
             THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """
+
+
+#: The same links by joining shingles, written out, and components by following links.
+JACCARD_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sized AS MATERIALIZED (SELECT doc_id, s, n FROM shingles JOIN sizes USING (doc_id)),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT DISTINCT a, a FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+firsts AS (SELECT id, min(other) AS least FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, coalesce(f.least, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN firsts f ON f.id = d.doc_id
+"""

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from prosestruct.llm import ann, components, jaccard, licenses, mixing, packing, quality_classifier, quality_rules, secrets, token_counts, url_filter
-from prosestruct.llm.queries import MIX_SQL, op4_secret_scan, op9_nearest_neighbours, queries, tokenizer_path
+from prosestruct.llm.queries import MIX_SQL, op4_secret_scan, op9_nearest_neighbours, oracle_sql, queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, `__key` string"
@@ -346,6 +346,18 @@ def test_registered_queries_give_the_contracts_columns(spark):
             assert sum(r.length for r in rows) == sum(map(len, ids.values()))
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_registered_queries_match_their_sql(spark, name):
+    frame = queries()[name](spark, SF)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    result = duck.execute(oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(frame.columns)
+    got = sorted((tuple(r[n] for n in names) for r in frame.collect()), key=repr)
+    assert got == sorted(result.fetchall(), key=repr)
+
+
 def test_clashing_columns_keep_their_values(spark):
     """Columns named as the operators name theirs come back with their own values."""
     names = ["__key", "__hash", "__below", "__copy", "__spans", "__gone", "key", "hash", "copies", "below", "row", "base_spans", "all_spans", "runs", "component_id", "size", "x"]
