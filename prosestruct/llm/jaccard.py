@@ -10,10 +10,13 @@ enough, since any fixed order gives right results; the counts only keep common p
    more would be allowed, the run of sizes without a gap is hot: its members are paired with NEAR_HOT before them and tied
    together as a group. The lists of shingles that very many sets share are split by salts, whose members are tied likewise;
    a set is paired in one of these lists only, that of its least shingle, which near copies mostly have in common.
+   If a shingle is the first that two sets share, its places in both bound the overlap (positional filter). Pairs that fall
+   short are dropped in the list, before anything of the sets is fetched.
    A sketch of each set, its shingles counted by hash range, bounds the overlap and drops pairs that can't link.
 2. Vertical partial overlaps. The global order of n-grams is cut into FRAGMENTS fragments and each set in question into its
    segments. A pair meets, fragment by fragment, as a row of two segments, which counts the overlap in that fragment alone;
    the counts are summed per pair, and the sum meets the exact integer condition or not. So no task holds whole sets.
+   Only segments of sets that the pairs at hand name are moved.
 3. Rounds. Links give classes, as connected components. What the first round left out are pairs of a hot group, of which
    only those between different classes matter. Groups of one class are done: near copies, however many, cost a few pairs
    each. Of the others, members outside the largest class meet all members, in blocks of HOT_BLOCK, by finer sketches, and
@@ -51,6 +54,8 @@ MAX_BROADCAST = 1_000_000
 NEAR, NEAR_HOT, HOT_BLOCK = 7, 2, 512
 #: Sets in a prefix list from which it is split by salts, as far as the global order knows.
 HOT_LIST = 2048
+#: Bits for a shingle's place in its set, beside the set's size; a place that doesn't fit counts as the last that does.
+PLACE_BITS = 16
 #: Fragments of the order, pairs that a block hands on at once, and else the shares of its pairs that are tested by round.
 FRAGMENTS, HANDED, SHARES = 4, 1024, (1 / 32, 1 / 4, 1)
 #: How much finer the sketches are by which members of a group meet, and where they stand among the fragments.
@@ -201,7 +206,7 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
         shingles, seen, by = Shingler(n), set(), held.value
 
         def work(batch):
-            keys, ids, sizes, salts, homes = [], [], [], [], []
+            keys, ids, packed, salts, homes = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text)
                 if not len(own):
@@ -215,32 +220,42 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
                 parts = 1 + by.count(found) // HOT_LIST
                 keys.append(found)
                 ids.append(np.full(len(found), set_id(whole), dtype=np.int64))
-                sizes.append(np.full(len(found), len(own), dtype=np.int32))
+                packed.append((len(own) << PLACE_BITS) + np.minimum(np.arange(len(found)), (1 << PLACE_BITS) - 1))
                 salts.append(np.where(parts > 1, set_id(whole) % parts, -1).astype(np.int32))
                 homes.append((parts > 1) & (found == found[parts > 1].min(initial=np.iinfo(np.uint64).max)))
             if not keys:
-                return {"key": [], "salt": [], "a": [], "size": [], "home": []}
-            return {"key": pa.array(np.concatenate(keys).view(np.int64)), "salt": np.concatenate(salts), "a": np.concatenate(ids), "size": np.concatenate(sizes), "home": np.concatenate(homes)}
+                return {"key": [], "salt": [], "a": [], "packed": [], "home": []}
+            columns = {"key": keys, "salt": salts, "a": ids, "packed": packed, "home": homes}
+            return {c: np.concatenate(x) for c, x in columns.items()} | {"key": pa.array(np.concatenate(keys).view(np.int64))}
 
         return work
 
-    rows = arrow_map(documents.select("text"), make, "key long, salt int, a long, size int, home boolean")
-    by_size, size = W.partitionBy("key", "salt").orderBy("size", "a"), F.col("size")
+    rows = arrow_map(documents.select("text"), make, "key long, salt int, a long, packed long, home boolean")
+    by_size, size = W.partitionBy("key", "salt").orderBy("packed", "a"), F.col("size")
     fits = lambda less, more: F.coalesce(less * den >= more * num, F.lit(False))
     once = rows.withColumn("copy", F.coalesce(F.lag("a").over(by_size) == F.col("a"), F.lit(False))).where("NOT copy")
+    # Taken apart behind the shuffle, where the rows are many.
+    once = once.withColumn("size", F.shiftright("packed", PLACE_BITS)).withColumn("place", F.col("packed").bitwiseAND((1 << PLACE_BITS) - 1))
     around = once.withColumn("joined", fits(F.lag("size").over(by_size), size)).withColumn("joins", fits(size, F.lead("size").over(by_size)))
     held_keys = around.withColumn("far", fits(F.lag("size", NEAR + 1).over(by_size), size)).where("joined OR joins OR salt >= 0")
     runs = held_keys.withColumn("first", F.last(F.when(~F.col("joined"), F.col("a")), ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.withColumn("before", F.collect_list(F.struct("a", "size")).over(by_size.rowsBetween(-NEAR, -1)))
+    runs = runs.withColumn("before", F.collect_list(F.struct("a", "size", "place")).over(by_size.rowsBetween(-NEAR, -1)))
     hot = F.max("far").over(W.partitionBy("key", "salt", "first")) | (F.col("salt") >= 0)
-    kept = checkpointed(runs.withColumn("hot", hot).select("key", "salt", "a", "size", "home", "first", "before", "hot"))
     none = F.slice("before", 1, 0)
     near = F.when((F.col("salt") >= 0) & ~F.col("home"), none).when(F.col("hot"), F.slice("before", F.greatest(F.size("before") - (NEAR_HOT - 1), F.lit(1)), NEAR_HOT)).otherwise(F.col("before"))
-    both = kept.select("a", "size", F.explode(near).alias("x")).where(fits(F.col("x.size"), size) & (F.col("a") != F.col("x.a")))
-    pairs = both.select(F.least("a", "x.a").alias("a"), F.greatest("a", "x.a").alias("b")).distinct()
+
+    def may_be_first(x):
+        """Whether the sets can link if this shingle is the first in the order that they share: what follows it bounds the overlap."""
+        most = F.least(x["size"] - x["place"], size - F.col("place"))
+        return fits(x["size"], size) & (x["a"] != F.col("a")) & (most * (den + num) >= (x["size"] + size) * num)
+
     # A split list is tied to a vertex of its own; runs of whole lists to their first set.
-    top = F.when(F.col("salt") >= 0, F.xxhash64("key")).otherwise(F.col("first"))
-    ties = kept.where("hot").select("a", top.alias("top")).where("a <> top").select(F.least("a", "top").alias("a"), F.greatest("a", "top").alias("b")).distinct()
+    top = F.when(F.col("salt") >= 0, F.xxhash64("key")).when(F.col("hot"), F.col("first"))
+    kept = runs.withColumn("hot", hot).select("a", F.transform(F.filter(near, may_be_first), lambda x: x["a"]).alias("near"), F.when(top != F.col("a"), top).alias("top"))
+    kept = checkpointed(kept.where("size(near) > 0 OR top IS NOT NULL"))
+    both = kept.select("a", F.explode("near").alias("x"))
+    pairs = both.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+    ties = kept.where("top IS NOT NULL").select(F.least("a", "top").alias("a"), F.greatest("a", "top").alias("b")).distinct()
     return pairs, ties
 
 
@@ -369,9 +384,16 @@ def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int)
     return arrow_map(texts.select("text", "set_id"), make, "set_id long, f int, data binary")
 
 
+def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows, by set_id, of the sets in pairs (a, b), which are read twice; all others stay where they are."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return rows.join(F.broadcast(ids) if few else ids, "set_id", "left_semi")
+
+
 def vertical_links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link: overlaps counted fragment by fragment, and summed per pair."""
-    segments = segments.where(F.col("f") != FINE)
+    segments = of_pairs(segments.where(F.col("f") != FINE), pairs)
     first = segments.select(F.col("set_id").alias("a"), "f", F.col("data").alias("x"))
     second = segments.select(F.col("set_id").alias("b"), "f", F.col("data").alias("y"))
     met = pairs.join(first, "a").join(second, ["b", "f"])
@@ -392,6 +414,7 @@ def vertical_links(pairs: DataFrame, segments: DataFrame, num: int, den: int) ->
 
 def sized(pairs: DataFrame, reps: DataFrame, *more: str) -> DataFrame:
     """pairs (a, b) with na, nb, and other columns of both sets."""
+    reps = of_pairs(reps, pairs)
     sides = [reps.select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n{s}"), *(F.col(c).alias(f"{c}_{s}") for c in more)) for s in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b")
 
@@ -425,7 +448,8 @@ def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num:
         found = checkpointed(cross_pairs(members, connected_components(links), number, num, den))
         if found.isEmpty():
             break
-        links = checkpointed(links.unionByName(vertical_links(sized(found.where("a IS NOT NULL"), reps), segments, num, den)))
+        tested = checkpointed(sized(found.where("a IS NOT NULL"), reps))
+        links = checkpointed(links.unionByName(vertical_links(tested, segments, num, den)))
         if found.where("a IS NULL").isEmpty():
             break
     return links

@@ -258,6 +258,35 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, n, num):
     assert {r.doc_id for r in jaccard.representatives(documents, n, num, 100).collect()} == {i for i in got if got[i][1] == i}
 
 
+def test_jaccard_pairs_by_place(spark):
+    """Texts that share but one shingle, late in their prefixes, make no pair; copies that link do, also at the limit."""
+    shingles, order = jaccard.Shingler(3), jaccard.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for salt in range(1000):
+        shared = shingles(f"by chance{salt} mere")[0]
+        texts = [" ".join(f"t{g}w{k}" for k in range(100)) + f" by chance{salt} mere" for g in range(20)]
+        # 101 shingles, prefixes of 11; two texts of that size that link share 96 shingles.
+        texts = [t for t in texts if 101 - 96 < np.searchsorted(shingles(t), shared) < 11][:6]
+        if len(texts) >= 4:
+            break
+    assert len(texts) >= 4
+    whole = [f"v{k}" for k in range(122)]
+    texts += [" ".join(whole), " ".join(whole[:116]), " ".join(whole[6:]), " ".join(whole[:-12])]
+    sets = {jaccard.set_id(jaccard.digest(shingles(t))): set(shingles(t).tolist()) for t in texts}
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    pairs, ties = jaccard.candidates(documents, order, 3, 90, 100)
+    found = {frozenset((r.a, r.b)) for r in pairs.collect()}
+    linking = {frozenset((i, j)) for i, x in sets.items() for j, y in sets.items() if i != j and 100 * len(x & y) >= 90 * len(x | y)}
+    assert ties.isEmpty() and linking and linking <= found
+    assert all(len(set.intersection(*(sets[i] for i in p))) > 1 for p in found)
+
+
+def test_jaccard_moves_segments_of_pairs_only(spark):
+    table = spark.createDataFrame([(i, f, b"x") for i in range(50) for f in (0, 1)], "set_id long, f int, data binary")
+    pairs = spark.createDataFrame([(3, 7, 1, 1), (7, 9, 1, 1)], "a long, b long, na long, nb long")
+    assert sorted(r.set_id for r in jaccard.of_pairs(table, pairs).collect()) == [3, 3, 7, 7, 9, 9]
+    assert jaccard.of_pairs(table, pairs.limit(0)).isEmpty()
+
+
 def test_nearest_recall_order_and_odd_vectors(spark):
     table = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet")
     ids, vectors = zip(*((r.vec_id, r.embedding) for r in table.collect()), strict=True)
