@@ -485,5 +485,6 @@ def representatives(documents: DataFrame, n: int = 5, num: int = 80, den: int =
 
     Rows with an empty set or a null id stay. Of rows with one id, all stay or none.
     """
-    gone = linked(documents, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["gone"], "left_anti")
+    gone = checkpointed(linked(documents, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    few = gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # then the texts stay where they are
+    return documents.join(F.broadcast(gone) if few else gone, documents["doc_id"] == gone["gone"], "left_anti")

@@ -280,6 +280,14 @@ def test_jaccard_pairs_by_place(spark):
     assert all(len(set.intersection(*(sets[i] for i in p))) > 1 for p in found)
 
 
+def test_jaccard_representatives_leave_texts_in_place(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    joins = [l for l in kept._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftAnti" in l]
+    assert joins and all("broadcast" in l for l in joins)
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "None"]
+
+
 def test_jaccard_moves_segments_of_pairs_only(spark):
     table = spark.createDataFrame([(i, f, b"x") for i in range(50) for f in (0, 1)], "set_id long, f int, data binary")
     pairs = spark.createDataFrame([(3, 7, 1, 1), (7, 9, 1, 1)], "a long, b long, na long, nb long")
