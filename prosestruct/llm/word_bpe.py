@@ -14,8 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
-MAX_KEPT = 400_000
+MAX_KEPT = 200_000
 LONGEST = 40
+#: Characters of texts that are split into words at a time; a longer text is split alone. Words take ten times their text.
+AT_A_TIME = 1 << 19
 _FAR = np.iinfo(np.int32).max
 #: Letters whose lower case and composition are plain, and signs that form one pre-token (an apostrophe starts another).
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -131,13 +133,22 @@ class WordBpe:
         self.words.update([(word, cores[a] + cores[b] if b else cores[a]) for word, a, b in plain])
         self.words.update(zip(other, self._by_library([w.decode("utf-8", "replace") for w in other]), strict=True))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
         if len(self.words) > MAX_KEPT:
             self.words = {}
-        self._learn(set().union(*(set(words).difference(self.words) for words in split)))
+        self._learn(set().union(*split).difference(self.words))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, at, size = [], 0, 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) > AT_A_TIME:
+                out += self._encode(texts[at:i])
+                at, size = i, 0
+            size += len(text)
+        return out + self._encode(texts[at:])
+
 
 @lru_cache(maxsize=1)
 def loaded(path: str) -> WordBpe:

@@ -33,6 +33,28 @@ def test_word_bpe_gives_the_librarys_ids():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_bpe_splits_few_texts_at_a_time(monkeypatch):
+    """Words in hand grow with neither the texts of a batch nor the words met so far; ids are the same."""
+    import tracemalloc
+
+    from prosestruct.llm import word_bpe
+
+    encode, draw = WordBpe(tokenizer_path("word_bpe_49k.json")), random.Random(5)
+    texts = [" ".join(draw.choices(WORDS[:10], k=4000)) for _ in range(200)]
+    whole = encode(texts)
+    held = 2 * sum(map(len, whole))
+    tracemalloc.start()
+    assert encode(texts) == whole
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < held, (peak, held)
+    monkeypatch.setattr(word_bpe, "AT_A_TIME", 50)
+    monkeypatch.setattr(word_bpe, "MAX_KEPT", 20)
+    mixed = ["", *(some_text(draw, n) for n in (1, 300, 2, 2, 0, 40)), "", "x"]
+    assert encode(mixed) == [encode([text])[0] for text in mixed] and encode([]) == []
+    assert len(encode.words) < 400
+
+
 def test_trie_counts_match_plain_viterbi():
     pieces = token_counts.load_pieces(tokenizer_path("piece_bpe_32k.model"))
     unknown = min(pieces.values()) - token_counts.UNKNOWN_PENALTY
