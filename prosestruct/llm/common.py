@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -39,6 +40,14 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on between tasks, also idle, and their pools keep what a task once held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], ddl: str) -> DataFrame:
     """Map batches of `df`, given as dicts of Arrow columns, to dicts of columns.
 
@@ -47,9 +56,13 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], ddl: st
     schema = arrow_schema(df, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            yield to_batch(work(dict(zip(batch.schema.names, batch.columns, strict=True))), schema)
+        try:
+            work = make()
+            for batch in batches:
+                yield to_batch(work(dict(zip(batch.schema.names, batch.columns, strict=True))), schema)
+        finally:
+            work = batch = None
+            give_back()
 
     return df.mapInArrow(run, ddl)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, to_batch
+from .common import arrow_schema, give_back, to_batch
 from .word_bpe import loaded
 
 WINDOW = 4096
@@ -141,10 +141,14 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
             kept = [(d, start, len(ids) // 4, ids, tokens, sequence, offset) for sequence, offset, (d, start, ids, tokens) in placed]
             return to_batch({name: [x[i] for x in kept] for i, name in enumerate(schema.names)}, schema)
 
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = encode(texts)
-            yield rows(p for d, x in zip(batch.column(0).to_pylist(), ids, strict=True) for p in packer.put(d, x + end))
-        yield rows(packer.empty())
+        try:
+            for batch in batches:
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                ids = encode(texts)
+                yield rows(p for d, x in zip(batch.column(0).to_pylist(), ids, strict=True) for p in packer.put(d, x + end))
+            yield rows(packer.empty())
+        finally:
+            batch = texts = ids = packer = None
+            give_back()
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)

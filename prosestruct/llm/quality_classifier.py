@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_map, arrow_schema
+from .common import SPACES, arrow_map, arrow_schema, give_back
 
 MAX_FIT = 20_000
 PAIRS = 60_000
@@ -135,9 +135,13 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     arrow_schema(documents, "x long")
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if texts:
-                yield batch.filter(pa.array(ranking.scores(np.array(list(map(features, texts)))) >= 0.5))
+        try:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                if texts:
+                    yield batch.filter(pa.array(ranking.scores(np.array(list(map(features, texts)))) >= 0.5))
+        finally:
+            batch = texts = None
+            give_back()
 
     return documents.mapInArrow(run, documents.schema)
