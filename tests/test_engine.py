@@ -332,6 +332,11 @@ def test_nested_documents_move_compact(spark):
         read = compact.from_bytes(compact.to_bytes(part), part.schema)
         read.validate(full=True)
         assert read.to_pylist() == part.to_pylist()
+    # Columns that go by the first one, and one that doesn't; with a null, a column goes by nothing.
+    for last in ("y", "z", None):
+        rows = [[{"i": 1, "k": "A", "v": "a", "w": "x"}, {"i": 2, "k": "B", "v": "a", "w": "y"}], [{"i": 3, "k": "A", "v": "a", "w": last}]]
+        part = pa.record_batch({"t": pa.array(rows, pa.list_(pa.struct([("i", pa.int32()), *((c, pa.string()) for c in "kvw")])))})
+        assert compact.from_bytes(compact.to_bytes(part), part.schema).to_pylist() == part.to_pylist()
     texts = ["The nation was opened. It may fail. THE ACTIVITY, İTY; ity!", "", "...", "Boxes. Boxes were seen by a city.\n\n> quoted nation"]
     rows = spark.createDataFrame([(i, None, t, "markdown") for i, t in enumerate(texts)], "doc_id BIGINT, path STRING, text STRING, format STRING")
     engine = Engine(suite=())
