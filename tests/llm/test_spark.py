@@ -189,6 +189,15 @@ def test_secret_query_digest(spark):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
 
 
+def test_secret_query_counts_by_kind(spark, tmp_path):
+    whole, access = "0123456789abcdef" * 2, "AKIA" + "Q7" * 8
+    texts = [None, "", whole, access, "token=abcdef", f"{whole} {whole}", f"{access}, {whole}; token=abcdef", f"secret:abcdef {access} pwd", f"é😀 passwd='{whole}' {access}" * 3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in op4_secret_scan(spark, str(tmp_path)).collect():
+        base = brute_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(kind == k for _, kind, _ in base) for k in range(3)), texts[r.doc_id]
+
+
 def test_mix_matches_a_full_sort(spark):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
