@@ -1,8 +1,12 @@
 """N-gram Jaccard join by vertical partitioning, after a prefix filter.
 
 A document's set holds its distinct n-word shingles as 64-bit hashes. The global order of n-grams puts rare ones first:
-by how often batches of documents were seen to share them, then by hash. Counts of the MAX_FREQUENT most shared ones are
-enough, since any fixed order gives right results; the counts only keep common passages out of prefixes.
+those known to be in one set alone, those in fewer than COMMON, those of which that isn't known, other common ones, and
+the MAX_FREQUENT that batches of documents were most often seen to share, by how often; else by hash. Any fixed order gives
+right results, but texts share shingles by chance, the more of them the larger the corpus is, and with such shingles in
+prefixes lists and pairs would grow with its square. To know the rare ones, COUNTED of 256 hashes are dealt out by range
+and counted there; bitmaps of 16 MB each show which were in two and in COMMON sets or more. What falls into one bit counts
+as more frequent than it is, never as less; so a shingle without a bit for two sets can make no pair, and has no list.
 
 1. Candidates. Sets r, s with similarity of at least t = num / den share one of the first |r| - ceil(t * |r|) + 1
    shingles of each (prefix filter), and the smaller has at least t times the size of the larger (length filter). Sets
@@ -48,6 +52,9 @@ from .components import connected_components
 
 #: Shared shingles whose counts order the rest, 16 bytes each, and the documents of a batch that make one shared.
 MAX_FREQUENT, SHARED = 250_000, 3
+#: Of 256 hashes how many are counted, sets from which a shingle is common, and ranges of hashes that are counted apart and bits
+#: of each range's bitmaps, as powers of two.
+COUNTED, COMMON, RANGES, RANGE_BITS = 128, 4, 8, 19
 #: Rows of the tables of sets in question and of unfinished groups that are broadcast at most (16 and 32 bytes each).
 MAX_BROADCAST = 1_000_000
 #: Sets before a set in a prefix list that it is paired with, in a hot run and elsewhere, and sets in a block of a group.
@@ -98,10 +105,13 @@ class Shingler:
 
 @dataclass(frozen=True)
 class Order:
-    """The global order of n-grams: shared ones, sorted by hash, with their counts; all others count 0 and come first."""
+    """The global order of n-grams: shared ones, sorted by hash, with their counts; all others count 0 and come first, and go
+    by bitmaps of the hashes that were counted in two sets and in COMMON sets or more, if there are any."""
 
     shared: np.ndarray
     counts: np.ndarray
+    twice: np.ndarray | None = None
+    common: np.ndarray | None = None
 
     def count(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.shared):
@@ -109,6 +119,20 @@ class Order:
         at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
         return np.where(self.shared[at] == shingles, self.counts[at], 0)
 
+    def alone(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles are known to be in one set only."""
+        if self.twice is None:
+            return np.zeros(len(shingles), dtype=bool)
+        return is_counted(shingles) & ~bits_of(self.twice, shingles)
+
+    def rank(self, shingles: np.ndarray) -> np.ndarray:
+        """Where shingles stand in the order, but for their hashes."""
+        counts = self.count(shingles)
+        if self.twice is None:
+            return counts
+        known = np.where(bits_of(self.common, shingles), 3, bits_of(self.twice, shingles).astype(np.int64))
+        return np.where(counts > 0, counts + 3, np.where(is_counted(shingles), known, 2))
+
     def cuts(self) -> tuple[np.ndarray, np.ndarray]:
         """Where the fragments of the order's two halves begin: by hash among the unshared, by (count, hash) among the shared."""
         half = FRAGMENTS // 2
@@ -131,8 +155,36 @@ class Order:
     def prefix(self, shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         """The shingles of a set, given by hash, of which two sets that link have one in common."""
         size = len(shingles) + (-num * len(shingles)) // den + 1
-        counts = self.count(shingles)
-        return shingles[np.argsort(counts, kind="stable")[:size]] if counts.any() else shingles[:size]
+        ranks = self.rank(shingles)
+        return shingles[np.argsort(ranks, kind="stable")[:size]] if ranks.any() else shingles[:size]
+
+
+def is_counted(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(255)) < COUNTED
+
+
+def bits_of(bitmap: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    at = shingles >> np.uint64(64 - RANGES - RANGE_BITS)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def by_range(values: np.ndarray, counts: np.ndarray) -> list[dict]:
+    """Shingles that are counted, given by hash with the number of sets that hold each: 32 bits of each hash by range, as often as that."""
+    own = is_counted(values)
+    values = np.repeat(values[own], np.minimum(counts[own], COMMON))
+    places = np.searchsorted(values, np.arange(1, 1 << RANGES, dtype=np.uint64) << np.uint64(64 - RANGES))
+    parts = np.split(((values << np.uint64(RANGES)) >> np.uint64(32)).astype(np.uint32), places)
+    return [{"p": p, "data": x.tobytes()} for p, x in enumerate(parts) if len(x)]
+
+
+def range_bits(parts: list[bytes]) -> list[bytes]:
+    """The bitmaps of a range, of what by_range gave for it twice and COMMON times or more."""
+    hashes, out = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])), []
+    for times in (2, COMMON):
+        bits, last = np.zeros(1 << RANGE_BITS, dtype=bool), hashes[times - 1 :]
+        bits[last[last == hashes[: len(last)]] >> np.uint32(32 - RANGE_BITS)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -162,8 +214,8 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int)
 
 
 def set_table(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, set_id (its leading bits) and sketch of each row; and shared: shingles that SHARED or
-    more different sets of a batch hold, with counts, on the first row of the batch."""
+    """doc_id, n_shingles, digest of the set, set_id (its leading bits) and sketch of each row; and on the first row of a batch
+    shared, the shingles that SHARED or more different sets of it hold, with counts, and ranges, the counted shingles by_range."""
 
     def make():
         shingles = Shingler(n)
@@ -172,30 +224,46 @@ def set_table(documents: DataFrame, n: int) -> DataFrame:
             sets = list(map(shingles, batch["text"].to_pylist()))
             digests = list(map(digest, sets))
             different = list(dict(zip(digests, sets, strict=True)).values())
-            shared = [None] * len(sets)
+            shared, ranges = [None] * len(sets), [None] * len(sets)
             if sets:
                 values, counts = np.unique(np.concatenate(different), return_counts=True)
                 often = counts >= SHARED
                 shared[0] = [{"s": int(s), "n": int(c)} for s, c in zip(values[often].view(np.int64), counts[often], strict=True)]
+                ranges[0] = by_range(values, counts)
             return {
                 "doc_id": batch["doc_id"], "n_shingles": list(map(len, sets)), "digest": digests,
-                "set_id": list(map(set_id, digests)), "shared": shared, "sketch": list(map(sketch, sets)),
+                "set_id": list(map(set_id, digests)), "shared": shared, "sketch": list(map(sketch, sets)), "ranges": ranges,
             }
 
         return work
 
     return arrow_map(
-        documents.select("doc_id", "text"), make, "doc_id long, n_shingles long, digest binary, set_id long, shared array<struct<s:long,n:long>>, sketch binary"
+        documents.select("doc_id", "text"),
+        make,
+        "doc_id long, n_shingles long, digest binary, set_id long, shared array<struct<s:long,n:long>>, sketch binary, ranges array<struct<p:int,data:binary>>",
     )
 
 
 def global_order(sets: DataFrame) -> Order:
-    """The order from the shared shingles of set_table: the MAX_FREQUENT most frequent, at most 4 MB."""
+    """The order from set_table: the MAX_FREQUENT most frequent of the shared shingles, at most 4 MB, and bitmaps of 32 MB."""
     seen = sets.select(F.explode("shared").alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n"))
     top = seen.orderBy(F.desc("n"), "s").limit(MAX_FREQUENT).toArrow()
     shared, counts = top["s"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(shared)
-    return Order(shared[order], counts[order])
+    schema = arrow_schema(sets, "p int, twice binary, common binary")
+
+    def mark(table: pa.Table) -> pa.Table:
+        twice, common = range_bits(table["data"].to_pylist())
+        return pa.Table.from_batches([to_batch({"p": table["p"][:1].to_pylist(), "twice": [twice], "common": [common]}, schema)])
+
+    parts = sets.select(F.explode("ranges").alias("x")).select("x.p", "x.data")
+    found = parts.groupBy("p").applyInArrow(mark, "p int, twice binary, common binary").toArrow()
+    width, bitmaps = 1 << (RANGE_BITS - 3), {}
+    for name in ("twice", "common"):
+        bitmaps[name] = np.zeros(width << RANGES, dtype=np.uint8)
+        for p, bits in zip(found["p"].to_pylist(), found[name].to_pylist(), strict=True):
+            bitmaps[name][p * width : (p + 1) * width] = np.frombuffer(bits, np.uint8)
+    return Order(shared[order], counts[order], **bitmaps)
 
 
 def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +277,7 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
             keys, ids, packed, salts, homes = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text)
-                if not len(own):
+                if len(own) * den < (len(own) + 1) * num:  # links with no other set
                     continue
                 whole = digest(own)
                 if whole in seen:  # copies within a task are listed once
@@ -217,10 +285,12 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
                 if len(seen) < MAX_WORDS:
                     seen.add(whole)
                 found = by.prefix(own, num, den)
+                places = np.flatnonzero(~by.alone(found))
+                found = found[places]
                 parts = 1 + by.count(found) // HOT_LIST
                 keys.append(found)
                 ids.append(np.full(len(found), set_id(whole), dtype=np.int64))
-                packed.append((len(own) << PLACE_BITS) + np.minimum(np.arange(len(found)), (1 << PLACE_BITS) - 1))
+                packed.append((len(own) << PLACE_BITS) + np.minimum(places, (1 << PLACE_BITS) - 1))
                 salts.append(np.where(parts > 1, set_id(whole) % parts, -1).astype(np.int32))
                 homes.append((parts > 1) & (found == found[parts > 1].min(initial=np.iinfo(np.uint64).max)))
             if not keys:
@@ -246,7 +316,8 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
 
     def may_be_first(x):
         """Whether the sets can link if this shingle is the first in the order that they share: what follows it bounds the overlap."""
-        most = F.least(x["size"] - x["place"], size - F.col("place"))
+        # Different sets of one size don't have all in common.
+        most = F.least(x["size"] - x["place"], size - F.col("place"), size - (x["size"] == size).cast("long"))
         return fits(x["size"], size) & (x["a"] != F.col("a")) & (most * (den + num) >= (x["size"] + size) * num)
 
     # A split list is tied to a vertex of its own; runs of whole lists to their first set.
@@ -360,7 +431,7 @@ def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int)
     few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     asked = wanted.select(F.col("doc_id").alias("member"), F.col("set_id"))
     texts = documents.select("doc_id", "text").join(F.broadcast(asked) if few else asked, F.col("doc_id") == F.col("member"))
-    held = documents.sparkSession.sparkContext.broadcast(order)
+    held = documents.sparkSession.sparkContext.broadcast(Order(order.shared, order.counts))
 
     def make():
         shingles, by, seen = Shingler(n), held.value, set()

@@ -344,3 +344,23 @@ def test_the_scored_share_falls_with_the_rows():
         table, probes = index.bands[0]
         shares.append(1 - (1 - probes / 2**table.bits) ** table.tables)
     assert shares[1] < 0.7 * shares[0] and shares[1] < 0.5
+
+
+def test_bitmaps_never_take_a_shared_shingle_for_one_of_a_single_set():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    batches = [[np.unique(rng.choice(pool, 60)) for _ in range(20)] for _ in range(5)]
+    parts = {}
+    for sets in batches:
+        for part in jaccard.by_range(*np.unique(np.concatenate(sets), return_counts=True)):
+            parts.setdefault(part["p"], []).append(part["data"])
+    width, bitmaps = 1 << (jaccard.RANGE_BITS - 3), np.zeros((2, 1 << (jaccard.RANGES + jaccard.RANGE_BITS - 3)), dtype=np.uint8)
+    for p, data in parts.items():
+        bitmaps[:, p * width : (p + 1) * width] = [np.frombuffer(x, np.uint8) for x in jaccard.range_bits(data)]
+    values, counts = np.unique(np.concatenate(sum(batches, [])), return_counts=True)
+    order, counted = jaccard.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64), *bitmaps), jaccard.is_counted(values)
+    assert 0.3 < counted.mean() < 0.7 and not order.alone(values[counts > 1]).any()
+    assert order.alone(values[(counts == 1) & counted]).mean() > 0.99
+    ranks = order.rank(values)
+    assert (ranks[~counted] == 2).all() and (ranks[counted & (counts >= jaccard.COMMON)] == 3).all() and (ranks[counted & (counts > 1)] >= 1).all()
+    assert (np.diff(order.rank(order.prefix(values, 1, 2))) >= 0).all()

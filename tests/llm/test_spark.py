@@ -289,6 +289,18 @@ def test_jaccard_pairs_by_place(spark):
     assert all(len(set.intersection(*(sets[i] for i in p))) > 1 for p in found)
 
 
+def test_jaccard_shingles_shared_by_chance_make_no_pairs(spark):
+    """Half of each text is of few words, so that it shares shingles by chance with texts of other batches; near copies are found."""
+    draw = random.Random(5)
+    texts = [" ".join([draw.choice("abcdefghijklmnopqrstuvwxy") for _ in range(100)] + [f"t{i}w{k}" for k in range(100)]) for i in range(300)]
+    texts += [texts[0] + " end", texts[1].replace("t1w50", "x"), "a b", "a c"]
+    sets = {jaccard.set_id(jaccard.digest(s)): set(s.tolist()) for s in map(jaccard.Shingler(3), texts)}
+    linking = {frozenset((i, j)) for i, x in sets.items() for j, y in sets.items() if i != j and 100 * len(x & y) >= 90 * len(x | y)}
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    pairs, ties = jaccard.candidates(documents, jaccard.global_order(jaccard.set_table(documents, 3)), 3, 90, 100)
+    assert {frozenset((r.a, r.b)) for r in pairs.collect()} == linking and len(linking) == 2 and ties.isEmpty()
+
+
 def test_jaccard_representatives_leave_texts_in_place(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")]
     kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
