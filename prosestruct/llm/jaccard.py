@@ -5,7 +5,7 @@ those known to be in one set alone, those in fewer than COMMON, those of which t
 the MAX_FREQUENT that batches of documents were most often seen to share, by how often; else by hash. Any fixed order gives
 right results, but texts share shingles by chance, the more of them the larger the corpus is, and with such shingles in
 prefixes lists and pairs would grow with its square. To know the rare ones, COUNTED of 256 hashes are dealt out by range
-and counted there; bitmaps of 16 MB each show which were in two and in COMMON sets or more. What falls into one bit counts
+and counted there; bitmaps of 8 MB each show which were in two and in COMMON sets or more. What falls into one bit counts
 as more frequent than it is, never as less; so a shingle without a bit for two sets can make no pair, and has no list.
 
 1. Candidates. Sets r, s with similarity of at least t = num / den share one of the first |r| - ceil(t * |r|) + 1
@@ -38,6 +38,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,14 +48,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, checkpointed, hash64, to_batch
+from .common import arrow_map, arrow_schema, checkpointed, give_back, hash64, to_batch
 from .components import connected_components
 
 #: Shared shingles whose counts order the rest, 16 bytes each, and the documents of a batch that make one shared.
 MAX_FREQUENT, SHARED = 250_000, 3
 #: Of 256 hashes how many are counted, sets from which a shingle is common, and ranges of hashes that are counted apart and bits
 #: of each range's bitmaps, as powers of two.
-COUNTED, COMMON, RANGES, RANGE_BITS = 128, 4, 8, 19
+COUNTED, COMMON, RANGES, RANGE_BITS = 128, 4, 8, 18
 #: Rows of the tables of sets in question and of unfinished groups that are broadcast at most (16 and 32 bytes each).
 MAX_BROADCAST = 1_000_000
 #: Sets before a set in a prefix list that it is paired with, in a hot run and elsewhere, and sets in a block of a group.
@@ -155,6 +156,9 @@ class Order:
     def prefix(self, shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         """The shingles of a set, given by hash, of which two sets that link have one in common."""
         size = len(shingles) + (-num * len(shingles)) // den + 1
+        alone = np.flatnonzero(self.alone(shingles))
+        if len(alone) >= size:
+            return shingles[alone[:size]]
         ranks = self.rank(shingles)
         return shingles[np.argsort(ranks, kind="stable")[:size]] if ranks.any() else shingles[:size]
 
@@ -245,7 +249,7 @@ def set_table(documents: DataFrame, n: int) -> DataFrame:
 
 
 def global_order(sets: DataFrame) -> Order:
-    """The order from set_table: the MAX_FREQUENT most frequent of the shared shingles, at most 4 MB, and bitmaps of 32 MB."""
+    """The order from set_table: the MAX_FREQUENT most frequent of the shared shingles, at most 4 MB, and bitmaps of 16 MB."""
     seen = sets.select(F.explode("shared").alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n"))
     top = seen.orderBy(F.desc("n"), "s").limit(MAX_FREQUENT).toArrow()
     shared, counts = top["s"].to_numpy().view(np.uint64), top["n"].to_numpy()
@@ -254,15 +258,17 @@ def global_order(sets: DataFrame) -> Order:
 
     def mark(table: pa.Table) -> pa.Table:
         twice, common = range_bits(table["data"].to_pylist())
-        return pa.Table.from_batches([to_batch({"p": table["p"][:1].to_pylist(), "twice": [twice], "common": [common]}, schema)])
+        return pa.Table.from_batches([to_batch({"p": table["p"][:1].to_pylist(), "twice": [zlib.compress(twice, 1)], "common": [zlib.compress(common, 1)]}, schema)])
 
     parts = sets.select(F.explode("ranges").alias("x")).select("x.p", "x.data")
     found = parts.groupBy("p").applyInArrow(mark, "p int, twice binary, common binary").toArrow()
     width, bitmaps = 1 << (RANGE_BITS - 3), {}
     for name in ("twice", "common"):
         bitmaps[name] = np.zeros(width << RANGES, dtype=np.uint8)
-        for p, bits in zip(found["p"].to_pylist(), found[name].to_pylist(), strict=True):
-            bitmaps[name][p * width : (p + 1) * width] = np.frombuffer(bits, np.uint8)
+        for p, bits in zip(found["p"].to_pylist(), found[name], strict=True):  # unpacked one by one, to spare the driver's memory
+            bitmaps[name][p * width : (p + 1) * width] = np.frombuffer(zlib.decompress(bits.as_py()), np.uint8)
+    del found
+    give_back()
     return Order(shared[order], counts[order], **bitmaps)
 
 
@@ -324,6 +330,7 @@ def candidates(documents: DataFrame, order: Order, n: int, num: int, den: int) -
     top = F.when(F.col("salt") >= 0, F.xxhash64("key")).when(F.col("hot"), F.col("first"))
     kept = runs.withColumn("hot", hot).select("a", F.transform(F.filter(near, may_be_first), lambda x: x["a"]).alias("near"), F.when(top != F.col("a"), top).alias("top"))
     kept = checkpointed(kept.where("size(near) > 0 OR top IS NOT NULL"))
+    held.destroy()
     both = kept.select("a", F.explode("near").alias("x"))
     pairs = both.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
     ties = kept.where("top IS NOT NULL").select(F.least("a", "top").alias("a"), F.greatest("a", "top").alias("b")).distinct()
@@ -431,7 +438,7 @@ def segment_table(documents: DataFrame, wanted: DataFrame, order: Order, n: int)
     few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     asked = wanted.select(F.col("doc_id").alias("member"), F.col("set_id"))
     texts = documents.select("doc_id", "text").join(F.broadcast(asked) if few else asked, F.col("doc_id") == F.col("member"))
-    held = documents.sparkSession.sparkContext.broadcast(Order(order.shared, order.counts))
+    held = documents.sparkSession.sparkContext.broadcast(order)
 
     def make():
         shingles, by, seen = Shingler(n), held.value, set()
@@ -507,6 +514,7 @@ def near_pairs(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
 def set_links(documents: DataFrame, order: Order, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between set ids whose components are those of all links; reps has doc_id, set_id, n_shingles, sketch."""
     pairs, ties = candidates(documents, order, n, num, den)
+    order = Order(order.shared, order.counts)
     near = checkpointed(near_pairs(pairs, reps, num, den))
     groups = connected_components(ties).select(F.col("vertex").alias("set_id"), F.col("component").alias("group"))
     members = checkpointed(reps.join(groups, "set_id").select("set_id", "n_shingles", "sketch", "group"))
